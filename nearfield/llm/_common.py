@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearfield.session import ship_package
+
 #: Rows in one Arrow batch of texts at most. Spark bounds batches by rows only, so long texts need few rows.
 BATCH_ROWS = 1000
 #: Bytes of text that numpy works on at once; longer documents go through in pieces.
@@ -23,7 +25,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch for this session; a smaller bound that is set already stays."""
+    """Bound the rows of an Arrow batch for this session (a smaller bound that is set stays), and ship this package."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from nearfield.llm import langid
+from nearfield.llm import langid, quality, toxicity
 
 QUERIES = {
     "op3_language_id": langid.op3_language_id,
+    "op6_quality": quality.op6_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
