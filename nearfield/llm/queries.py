@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from nearfield.llm import langid, quality, toxicity
+from nearfield.llm import embeddings, html_text, langid, quality, toxicity
 
 QUERIES = {
     "op3_language_id": langid.op3_language_id,
+    "op5_html_text": html_text.op5_html_text,
     "op6_quality": quality.op6_quality,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op10_embedding_links": embeddings.op10_embedding_links,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_embedding_links": embeddings.ORACLE_SQL,
+}
