@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from nearfield.llm import embeddings, html_text, langid, quality, toxicity
+from nearfield.llm import embeddings, html_text, langid, minhash, quality, toxicity
 
 QUERIES = {
     "op3_language_id": langid.op3_language_id,
+    "op4_near_duplicates": minhash.op4_near_duplicates,
     "op5_html_text": html_text.op5_html_text,
     "op6_quality": quality.op6_quality,
     "op8_toxicity": toxicity.op8_toxicity,
