@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.llm._common import plain_words, read, small_batches
+from nearfield.llm._common import append_columns, plain_words, read, small_batches
 
 #: Words in a passage, and from one to the next: a run of STRIDE words lies within some passage.
 PASSAGE, STRIDE = 128, 64
@@ -185,23 +185,27 @@ def overlaps(item: Item, words: list[bytes]) -> tuple[float, float]:
     return len(own & there) / max(1, len(own)), len(answer.intersection(words)) / max(1, len(answer))
 
 
+def indexes(items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> Iterator[BlockMaxIndex]:
+    """Indexes over all items, of about MAX_ITEMS each; at least one. Items without id, text or words are left out."""
+    items = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    shards = max(1, -(-items.count() // MAX_ITEMS))
+    for s in range(shards):
+        part = items.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == s).toArrow()
+        rows = sorted(zip(part.column("i").to_pylist(), part.column("t").to_pylist(), strict=True))
+        yield BlockMaxIndex([x for i, t in rows if (x := parsed(i, t)).words])
+
+
 def find_leaks(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, bm25, overlap, answer_overlap) of every text and every item that it holds.
 
-    Null and empty texts and items, and items without an id, match nothing. Equal rows of ``df`` give equal rows; equal
-    items give a row each, repeated items (id and text) one.
+    Null and empty texts and items, and items without an id, match nothing. Equal rows of ``df`` give equal rows; repeated
+    items (id and text) give one.
     """
     spark = df.sparkSession
     small_batches(spark)
-    items = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    count = items.count()
-    shards = -(-count // MAX_ITEMS)
     schema = T.StructType([df.select(doc_id).schema[0], T.StructField("item_id", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("bm25", "overlap", "answer_overlap"))])
     out = None
-    for s in range(max(1, shards)):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(max(1, shards))) == s).toArrow()
-        rows = sorted(zip(part.column("i").to_pylist(), part.column("t").to_pylist(), strict=True))
-        index = BlockMaxIndex([x for i, t in rows if (x := parsed(i, t)).words])
+    for index in indexes(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -221,6 +225,19 @@ def find_leaks(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     return out
 
 
+def without_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text holds no item; null and empty texts stay."""
+    columns = df.columns
+    for index in indexes(items, item_id, item_text):
+        shared = df.sparkSession.sparkContext.broadcast(index)
+
+        def clean(batch: pa.RecordBatch, shared=shared) -> list[pa.Array]:
+            return [pa.array([not (t and shared.value.search(t)) for t in batch.column(text).cast(pa.string()).to_pylist()])]
+
+        df = append_columns(df, columns, clean, [T.StructField("_clean", T.BooleanType())], [text]).where("_clean").select(*columns)
+    return df
+
+
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
     """doc_id, item_id, bm25, overlap, answer_overlap of every document and benchmark item that it holds."""
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
