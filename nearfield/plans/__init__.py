@@ -37,7 +37,7 @@ def executed_plan(df: DataFrame) -> str:
 
 def pushed_filters(df: DataFrame) -> list[str]:
     """Filters that reach the scans."""
-    return [f for found in re.findall(r"PushedFilters: \[([^\]]*)\]", executed_plan(df)) for f in found.split(", ") if f]
+    return [f for found in re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", executed_plan(df)) for f in re.split(r", (?=[A-Z]\w*\()", found) if f]
 
 
 def scanned_columns(df: DataFrame) -> list[str]:
