@@ -70,9 +70,9 @@ def build(rows: DataFrame, low_levels: int, high_levels: int) -> MerkleTree:
     ranges = _level(rows, F.col("archive"), F.floor(F.col("offset") / RANGE_BYTES).cast("bigint"), ["offset", "copies"], F.col("digest"))
     levels = [checkpointed(ranges)]
     for _ in range(low_levels):
-        levels.append(_level(levels[-1], F.col("hi"), F.floor(F.col("lo") / FANOUT).cast("bigint"), ["lo"], F.col("digest")))
+        levels.append(checkpointed(_level(levels[-1], F.col("hi"), F.floor(F.col("lo") / FANOUT).cast("bigint"), ["lo"], F.col("digest"))))
     for _ in range(high_levels):
-        levels.append(_level(levels[-1], F.floor(F.col("hi") / FANOUT).cast("bigint"), F.lit(0).cast("bigint"), ["hi"], F.col("digest")))
+        levels.append(checkpointed(_level(levels[-1], F.floor(F.col("hi") / FANOUT).cast("bigint"), F.lit(0).cast("bigint"), ["hi"], F.col("digest"))))
     return MerkleTree(rows, levels)
 
 
@@ -111,7 +111,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
             left, right = (t.withColumns({"_hi": up[0], "_lo": up[1]}).join(wrong, ["_hi", "_lo"], "left_semi").drop("_hi", "_lo") for t in (left, right))
         right = right.withColumnRenamed("digest", "other")
         differ = left.join(right, ["hi", "lo"], "full").where(~F.col("digest").eqNullSafe(F.col("other")))
-        wrong = differ.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"))
+        wrong = checkpointed(differ.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo")))
     place = {"_hi": F.col("archive"), "_lo": F.floor(F.col("offset") / RANGE_BYTES).cast("bigint")}
     left, right = (t.records.withColumns(place).join(wrong, ["_hi", "_lo"], "left_semi").select("archive", "offset", "id", "copies", "digest") for t in (a, b))
     right = right.select("archive", "offset", F.col("id").alias("other_id"), F.col("copies").alias("other_copies"), F.col("digest").alias("replica_digest"))
