@@ -54,26 +54,35 @@ def top_k(hits: DataFrame, k: int, by: Sequence[str] = ("qid",)) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _local_top_k(queries: np.ndarray, qids: list, k: int, metric: Metric, dim: int, decode: Decoder | None):
+def _local_top_k(queries: np.ndarray, qids: list, k: int, metric: Metric, dim: int, decode: Decoder | None, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(queries)
+        """(id, vector, kept columns) to hits; only rows that are among some query's best so far are held."""
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(queries)  # distances, rows of held
+        held: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy()
             vectors = matrix(batch.column(1), dim)
             d = distance_matrix(metric, vectors if decode is None else decode(vectors), queries)
-            for j in range(len(queries)):
-                near = nearest(d[:, j], ids, k)
-                both = np.concatenate([best[j][0], d[near, j]]), np.concatenate([best[j][1], ids[near]])
-                keep = np.lexsort((both[1], both[0]))[:k]
-                best[j] = both[0][keep], both[1][keep]
-        sizes = [len(d) for d, _ in best]
-        if sum(sizes):
-            at = np.repeat(np.arange(len(best)), sizes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids).take(pa.array(at)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([d for d, _ in best]))], names=["qid", "id", "distance"]
-            )
+            near = [nearest(d[:, j], ids, k) for j in range(len(queries))]
+            new = np.unique(np.concatenate(near))
+            rows = pa.Table.from_batches([batch]).drop_columns([batch.schema.names[1]]).take(pa.array(new))
+            start = 0 if held is None else held.num_rows
+            held = rows if held is None else pa.concat_tables([held, rows])
+            every = held.column(0).to_numpy()
+            for j, at in enumerate(near):
+                both = np.concatenate([best[j][0], d[at, j]]), np.concatenate([best[j][1], start + np.searchsorted(new, at)])
+                first = np.lexsort((every[both[1]], both[0]))[:k]
+                best[j] = both[0][first], both[1][first]
+            used = np.unique(np.concatenate([r for _, r in best]))
+            held = held.take(pa.array(used)).combine_chunks()
+            best = [(x, np.searchsorted(used, r)) for x, r in best]
+        if held is not None:
+            at = np.repeat(np.arange(len(best)), [len(x) for x, _ in best])
+            found = held.take(pa.array(np.concatenate([r for _, r in best])))
+            columns = [pa.array(qids).take(pa.array(at)), found.column(0), pa.array(np.concatenate([x for x, _ in best])), *found.columns[1:]]
+            yield pa.Table.from_arrays(columns, names=names).combine_chunks().to_batches()[0]
 
     return run
 
@@ -97,32 +106,38 @@ def knn(
     rows = rows.where(F.col(vector_col).isNotNull())
     asked = queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).cast("array<double>").alias("qvec"))
     if plan == "sql" or isinstance(plan, KnnPlan) and plan.kind == "sql":
-        hits = _sql_hits(rows, asked, metric, id_col, vector_col)
+        hits = _sql_hits(rows, asked, metric, id_col, vector_col, keep)
     else:
-        hits = _arrow_hits(rows, asked, k, metric, id_col, vector_col, plan, decode)
-    found = top_k(hits, k)
-    if keep:
-        kept = rows.select(F.col(id_col).cast("bigint").alias("id"), *keep)
-        # hits are k rows for each query
-        found = kept.join(found, "id") if k * 64 > 1 << 20 else kept.join(found.hint("broadcast"), "id")
-    return found.select("qid", "rank", "id", "distance", *keep)
+        hits = _arrow_hits(rows, asked, k, metric, id_col, vector_col, keep, plan, decode)
+    return top_k(hits, k).select("qid", "rank", "id", "distance", *keep)
 
 
-def _sql_hits(rows: DataFrame, asked: DataFrame, metric: Metric, id_col: str, vector_col: str) -> DataFrame:
-    """All distances as columns; the plan to read, and the one to compare others with."""
-    v = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), norm(F.col(vector_col)).alias("vn"))
-    q = asked.withColumn("qn", norm(F.col("qvec")))
-    pairs = v.crossJoin(F.broadcast(q))
-    return pairs.select("qid", "id", distance(metric, F.col("v"), F.col("qvec"), F.col("vn"), F.col("qn")).alias("distance"))
+def _sql_hits(rows: DataFrame, asked: DataFrame, metric: Metric, id_col: str, vector_col: str, keep: Sequence[str]) -> DataFrame:
+    """All distances as columns, query block by query block; the plan to read, and the one to compare others with."""
+    v = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("_v"), norm(F.col(vector_col)).alias("_vn"), *keep)
+    out: DataFrame | None = None
+    for qids, block in query_blocks(asked, "sql"):
+        local = rows.sparkSession.createDataFrame(pa.table({"qid": pa.array(qids), "qvec": pa.array(block.tolist(), pa.list_(pa.float64()))}))
+        pairs = v.crossJoin(F.broadcast(local.withColumn("_qn", norm(F.col("qvec")))))  # a block is bounded
+        d = distance(metric, F.col("_v"), F.col("qvec"), F.col("_vn"), F.col("_qn"))
+        hits = pairs.select("qid", "id", d.alias("distance"), *keep)
+        out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        q = asked.limit(0)
+        out = v.crossJoin(q).select("qid", "id", F.lit(0.0).alias("distance"), *keep)
+    return out
 
 
-def _arrow_hits(rows: DataFrame, asked: DataFrame, k: int, metric: Metric, id_col: str, vector_col: str, plan: str | KnnPlan, decode: Decoder | None) -> DataFrame:
+def _arrow_hits(
+    rows: DataFrame, asked: DataFrame, k: int, metric: Metric, id_col: str, vector_col: str, keep: Sequence[str], plan: str | KnnPlan, decode: Decoder | None
+) -> DataFrame:
     spark = rows.sparkSession
-    schema = T.StructType([asked.schema["qid"], T.StructField("id", T.LongType()), T.StructField("distance", T.DoubleType())])
+    kept = rows.select(*keep).schema.fields if keep else []
+    schema = T.StructType([asked.schema["qid"], T.StructField("id", T.LongType()), T.StructField("distance", T.DoubleType()), *kept])
     out: DataFrame | None = None
-    source = rows.select(F.col(id_col).cast("bigint"), F.col(vector_col))
+    source = rows.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vector_col).alias("_vector"), *keep)
     for qids, block in query_blocks(asked, plan):
-        hits = source.mapInArrow(_local_top_k(block, qids, k, metric, block.shape[1], decode), schema)
+        hits = source.mapInArrow(_local_top_k(block, qids, k, metric, block.shape[1], decode, schema.names), schema)
         out = hits if out is None else out.unionByName(hits)
     return spark.createDataFrame([], schema) if out is None else out
 
