@@ -58,14 +58,18 @@ def binary_matrix(column: pa.Array, a: int, b: int, dtype: str) -> np.ndarray:
     return data.view(dtype).reshape(b - a, -1) if data.ctypes.data % 8 == 0 else np.frombuffer(data.tobytes(), dtype).reshape(b - a, -1)
 
 
-def roots(linked: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric boolean matrix, the smallest index in its connected component."""
+def roots(linked: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix, the smallest of ``values`` in its connected component."""
+    order = np.argsort(values, kind="stable")
     n = len(linked)
+    near = linked[np.ix_(order, order)] | np.eye(n, dtype=bool)
     label = np.arange(n)
-    near = linked | np.eye(n, dtype=bool)
     while True:
         new = np.where(near, label[None, :], n).min(1)
         new = new[new]
         if (new == label).all():
-            return label
+            break
         label = new
+    out = np.empty(n, values.dtype)
+    out[order] = values[order][label]
+    return out

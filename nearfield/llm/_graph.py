@@ -11,22 +11,35 @@ from nearfield.llm._common import checkpointed
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node that links reach.
 
-    Each round takes the smallest label among neighbours, hooks whole trees to it, and halves paths, until no label
-    changes: rounds grow with the logarithm of the diameter. Only sums and minima by node are shuffled, so a node with
+    Each round takes the smallest label among neighbours and then halves the path to it, until no label changes. Only sums and minima by node are shuffled, so a node with
     many links needs no room in one task. Labels are checkpointed each round.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = checkpointed(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    both = checkpointed(pairs.select(both.alias("e")).select("e.u", "e.v").distinct())
     labels = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("m", "node").alias("c")))
     while True:
-        # the smallest label that a node sees goes to the node and to the root of its present tree
+        # each node takes the smallest label that it or a neighbour has, and then that label's own label
         seen = both.join(labels.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").groupBy(F.col("u").alias("node")).agg(F.min("cv").alias("m"))
-        held = labels.join(seen, "node").select("node", "c", F.least("c", "m").alias("m"))
-        hooks = held.groupBy(F.col("c").alias("node")).agg(F.min("m").alias("h"))
-        step = held.join(hooks, "node", "left").select("node", "c", F.least("m", F.coalesce("h", "m")).alias("n"))
+        step = labels.join(seen, "node").select("node", "c", F.least("c", "m").alias("n"))
         jump = step.select(F.col("node").alias("n"), F.col("n").alias("nn"))
         new = checkpointed(step.join(jump, "n", "left").select("node", F.col("c").alias("old"), F.least("n", F.coalesce("nn", "n")).alias("c")))
         changed = new.where("old <> c").limit(1).count()
         labels = new.select("node", "c")
         if not changed:
             return labels.select("node", F.col("c").alias("component"))
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, c): the components ``labels`` (node, c) joined further by ``edges`` (a, b) between any nodes.
+
+    Only the graph of the labels that ``edges`` join goes through components().
+    """
+    of = lambda side: F.coalesce(f"c_{side}", side)
+    named = edges.select("a", "b")
+    for side in ("a", "b"):
+        named = named.join(labels.select(F.col("node").alias(side), F.col("c").alias(f"c_{side}")), side, "left")
+    named = checkpointed(named.select("a", "b", of("a").alias("ca"), of("b").alias("cb")))
+    joined = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    nodes = labels.select("node", "c").unionByName(named.select(F.col("a").alias("node"), F.col("ca").alias("c"))).unionByName(named.select(F.col("b").alias("node"), F.col("cb").alias("c"))).distinct()
+    return nodes.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").select("node", F.coalesce("component", "c").alias("c"))

@@ -100,7 +100,7 @@ def _compare(threshold: float, wide: bool):
                     here = keys[p, first] == bucket[a]
                     counts += np.bincount(p[here], copies[a:b][q[here]], b - a).astype(np.int64)
                 some = linked.any(1)
-                out.append((node[a:b][some], counts[some], node[a:b][roots(linked)][some]))
+                out.append((node[a:b][some], counts[some], roots(linked, node[a:b])[some]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in range(3)], names=["node", "links", "root"])
 
@@ -130,13 +130,13 @@ def link(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", la
     # an id with several vectors joins their components
     split = members.groupBy("id").agg(F.min("same").alias("s"), F.max("same").alias("t")).where("s <> t").select("id")
     tied = members.join(split, "id").join(nodes.select("same", "node"), "same").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    labelled = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).distinct().unionByName(tied))
+    labelled = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(tied))
     nodes = nodes.select("same", "node", "copies").join(counts, "node", "left").join(labelled, "node", "left")
     nodes = nodes.select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("c"))
-    by_id = members.select("id", "same").join(nodes, "same").groupBy("id").agg(F.sum("n").alias("n"), F.min("c").alias("c"))
-    out = df.select(vec_id).join(by_id, F.col(vec_id).cast("bigint") == F.col("id"), "left")
-    component = F.coalesce(F.col("c").cast(id_type), F.col(vec_id))
-    return out.select(vec_id, F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col(vec_id).eqNullSafe(component).alias("kept"))
+    by_id = members.select("id", "same").join(nodes, "same").groupBy(F.col("id").alias("_id")).agg(F.sum("n").alias("_n"), F.min("c").alias("_c"))
+    out = df.select(vec_id).join(by_id, F.col(vec_id).cast("bigint") == F.col("_id"), "left")
+    component = F.coalesce(F.col("_c").cast(id_type), F.col(vec_id))
+    return out.select(vec_id, F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col(vec_id).eqNullSafe(component).alias("kept"))
 
 
 def op10_embedding_links(spark, sf_dir: str) -> DataFrame:

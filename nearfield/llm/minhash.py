@@ -5,8 +5,9 @@ differ in at most 15 symbols have a chunk with at most one error (pigeonhole), s
 out in turn bring together every such pair. At Jaccard similarity 0.8 a pair differs in 16 or more with probability
 below 1e-4. Pairs within the distance are confirmed on the full shingle sets.
 
-Equal sets are collapsed first. A bucket reports for each member only its smallest neighbour; after those links are
-confirmed and joined into components, only pairs between different components are left to confirm.
+Equal sets are collapsed first. A bucket reports which of its members hang together, with a link for each member at most;
+larger buckets do so block by block, and then once more for members that the blocks left apart. The full shingle sets of each
+cluster that arises are compared with each other, exactly and whether or not they shared a bucket, in groups of two blocks.
 """
 
 from __future__ import annotations
@@ -18,16 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm._blocks import binary_matrix, groups, regrouped, shared_buckets
+from nearfield.llm._blocks import BLOCK, binary_matrix, groups, regrouped, roots
 from nearfield.llm._common import checkpointed, mix, read, small_batches, text_chunks, word_hashes, words_of
-from nearfield.llm._graph import components
+from nearfield.llm._graph import components, merged
 
 SYMBOLS, CHUNKS = 32, 8
 PER_CHUNK = SYMBOLS // CHUNKS
+#: Keys of a signature; a bucket's low bits hold which of them it is.
+KEYS = CHUNKS * PER_CHUNK
 #: Differing symbols up to which every pair is found: less than two for each chunk.
 DISTANCE = 2 * CHUNKS - 1
-#: Leaves that are confirmed against one copy of their centre.
-LEAVES = 256
+#: Documents of a cluster whose shingle sets one block holds, about.
+CLUSTER_BLOCK = 256
+#: Shingles that a comparison of sets takes at a time.
+COLUMNS = 1 << 13
 _rng = np.random.default_rng(4)
 _SLOPES = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -102,68 +107,121 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for left in range(PER_CHUNK):
             rest = [k for k in range(PER_CHUNK) if k != left]
             packed = (s[:, :, rest[0]] << np.uint64(32)) | (s[:, :, rest[1]] << np.uint64(16)) | s[:, :, rest[2]]
-            keys[:, :, left] = (packed << np.uint64(8)) | (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(PER_CHUNK) + np.uint64(left))
-        keys = mix(keys).reshape(batch.num_rows, -1).view(np.int64)
+            keys[:, :, left] = packed
+        number = np.arange(KEYS, dtype=np.uint64)
+        keys = mix(mix(keys.reshape(batch.num_rows, KEYS)) + number)
+        keys = ((keys & ~np.uint64(KEYS - 1)) | number).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), keys.shape[1])), pa.array(keys.ravel())], names=["node", "bucket"])
 
 
-def _near(percent: int, label: bool):
+def _near(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups to pairs (a, b), a < b, within the distance and the size ratio.
+        """Groups to links (a, b): members whose signatures are within the distance, and sizes within the ratio, hang together.
 
-        Without ``label``: for each b the smallest a, and a flag that the group has further pairs. With it: all pairs of
-        different labels.
+        Members with the same label c already do. Each link joins a label to the smallest that it hangs together with.
         """
         for batch, starts in groups(batches):
-            node, n, blk, x, y, bucket = (batch.column(c).to_numpy() for c in ("node", "n", "blk", "x", "y", "bucket"))
-            c = batch.column("c").to_numpy() if label else node
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            n, c = (batch.column(k).to_numpy() for k in ("n", "c"))
+            found: list[tuple[np.ndarray, np.ndarray]] = []
             for a, b in zip(starts.tolist(), np.append(starts[1:], batch.num_rows).tolist(), strict=True):
                 if b - a < 2:
                     continue
-                order = a + np.argsort(node[a:b], kind="stable")
-                s = binary_matrix(batch.column("sig"), a, b, "<u2")[order - a]
-                ids, sizes, own, blocks = node[order], n[order], c[order], blk[order]
-                m = b - a
-                for lo in range(0, m, 256):
-                    hi = min(m, lo + 256)
-                    differ = np.zeros((hi - lo, hi), np.uint8)
-                    for k in range(SYMBOLS):
-                        differ += s[lo:hi, None, k] != s[None, :hi, k]
-                    ok = (differ <= DISTANCE) & (ids[lo:hi, None] > ids[None, :hi])
-                    ok &= 100 * np.minimum(sizes[lo:hi, None], sizes[None, :hi]) >= percent * np.maximum(sizes[lo:hi, None], sizes[None, :hi])
-                    if x[a] != y[a]:
-                        ok &= blocks[lo:hi, None] != blocks[None, :hi]
-                    if label:
-                        ok &= own[lo:hi, None] != own[None, :hi]
-                        i, j = np.nonzero(ok)
-                    else:
-                        i = np.flatnonzero(ok.any(1))
-                        j = ok[i].argmax(1)
-                    if len(i):
-                        found.append((ids[j], ids[lo + i], np.full(len(i), bucket[a])))
+                sizes, own = n[a:b], c[a:b]
+                s = binary_matrix(batch.column("sig"), a, b, "<u2")
+                differ = np.zeros((b - a, b - a), np.uint8)
+                for k in range(SYMBOLS):
+                    differ += s[:, None, k] != s[None, :, k]
+                near = (differ <= DISTANCE) & (100 * np.minimum(sizes[:, None], sizes[None]) >= percent * np.maximum(sizes[:, None], sizes[None]))
+                root = roots(near | (own[:, None] == own[None]), own)
+                some = root != own
+                if some.any():
+                    found.append((root[some], own[some]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3)], names=["a", "b", "bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(2)], names=["a", "b"])
 
     return run
 
 
-def _confirm(size: int, percent: int):
+def _met(keys: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(bucket, x, y, blk, nb, node, n, sig) of the members of buckets that have others, in groups of a block each."""
+    sizes = keys.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    rows = keys.join(sizes, "bucket").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("node", F.lit(11)), F.col("nb")).cast("int"))
+    return rows.join(sigs, "node").select("bucket", F.col("blk").alias("x"), F.col("blk").alias("y"), "blk", "nb", "node", "n", "sig")
+
+
+def _met_again(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of ``large`` buckets with labels c, dealt so that all members of different labels meet.
+
+    Members of the most frequent label stay in their block and the others go to every block; if the others are more than
+    BLOCK, all go to every pair of blocks instead.
+    """
+    rows = large.join(labels, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    each = rows.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    most = each.groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("most"), (F.sum("k") - F.max("k")).alias("others"))
+    rows = rows.join(most, "bucket").withColumn("by_label", F.col("others") <= BLOCK)
+    every = F.sequence(F.lit(0), F.col("nb") - 1)
+    rows = rows.withColumn("o", F.explode(F.when(F.col("by_label") & (F.col("c") == F.col("most")), F.array("blk")).otherwise(every)))
+    x = F.when(F.col("by_label"), F.col("o")).otherwise(F.least("blk", "o"))
+    y = F.when(F.col("by_label"), F.col("o")).otherwise(F.greatest("blk", "o"))
+    return rows.where("others > 0").select("bucket", x.alias("x"), y.alias("y"), "blk", "node", "n", "sig", "c")
+
+
+def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (a, salt, b, text), a centre (null b) before its leaves, to the pairs (a, b) that are similar enough."""
-        centre: tuple[int, int] | None = None
-        sets: list[set] = []
+        """(node, text) to (node, set): the distinct 64-bit hashes of the shingles."""
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for a, salt, b, text in zip(*(batch.column(k).to_pylist() for k in ("a", "salt", "b", "text")), strict=True):
-                own = shingles(words_of(text), size)
-                if (a, salt) != centre:
-                    centre, sets = (a, salt), []
-                if b is None:
-                    sets.append(own)
-                elif any(similar(own, s, percent) for s in sets):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(2)], names=["a", "b"])
+            hashed: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
+            for data, starts, rows in text_chunks(batch.column("text")):
+                words, per_doc = word_hashes(data, starts)
+                for i, part in zip(rows.tolist(), np.split(words, np.cumsum(per_doc)[:-1]), strict=True):
+                    hashed[i].append(part)
+            sets = []
+            for parts in hashed:
+                words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+                sets.append(np.unique(shingle_hashes(words, np.array([len(words)]), size)[0]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    return run
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets of distinct numbers."""
+    m = len(sets)
+    values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    number = np.cumsum(counts > 1) - 1  # a shingle of one set only adds to no intersection
+    some = counts[at] > 1
+    column, owner = number[at[some]], owner[some]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((m, m), np.int64)
+    for lo in range(0, int((counts > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        present = np.zeros((m, COLUMNS), np.float32)
+        present[owner[a:b], column[a:b] - lo] = 1
+        out += np.rint(present @ present.T).astype(np.int64)
+    out[np.arange(m), np.arange(m)] = [len(s) for s in sets]
+    return out
+
+
+def _confirm(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups (node, set) of a cluster to links (a, b) that join all whose sets are similar enough."""
+        for batch, starts in groups(batches):
+            node = batch.column("node").to_numpy()
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for a, b in zip(starts.tolist(), np.append(starts[1:], batch.num_rows).tolist(), strict=True):
+                if b - a < 2:
+                    continue
+                sets = [np.frombuffer(x, np.uint64) for x in batch.column("set").slice(a, b - a).to_pylist()]
+                n = np.array([len(s) for s in sets])
+                shared = shared_counts(sets)
+                root = roots((shared > 0) & (100 * shared >= percent * (n[:, None] + n[None] - shared)), node[a:b])
+                some = root != node[a:b]
+                found.append((root[some], node[a:b][some]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(2)], names=["a", "b"])
 
     return run
 
@@ -180,14 +238,15 @@ def similar(a: set, b: set, percent: int) -> bool:
     return bool(shared) and 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle sets are similar. Each centre a meets its leaves in groups of about LEAVES."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).cast("int").alias("salts"))
-    leaves = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b", F.lit(7)), F.col("salts")).cast("int").alias("salt"), "b", F.col("b").alias("node"))
-    centres = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), F.col("a").alias("node"))
-    rows = leaves.unionByName(centres).join(texts, "node").select("a", "salt", "b", "text")
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_confirm(size, percent), "a bigint, b bigint")
+def _confirmed(clusters: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) within the ``clusters`` (node, c), by the full texts of ``docs`` (id, text)."""
+    sizes = clusters.groupBy("c").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).cast("int").alias("nb"))
+    rows = clusters.join(sizes, "c").withColumn("blk", F.pmod(F.xxhash64("node", F.lit(13)), F.col("nb")).cast("int"))
+    texts = docs.join(rows, F.col("id") == F.col("node"), "left_semi").select(F.col("id").alias("node"), "text")
+    sets = checkpointed(texts.mapInArrow(_sets(size), "node bigint, set binary").distinct())
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select(F.col("c").alias("bucket"), F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), "blk", "node").join(sets, "node")
+    return regrouped(rows.select("bucket", "x", "y", "blk", "node", "set")).mapInArrow(_confirm(percent), "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -204,22 +263,17 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     full = signed.where("fp is not null and id is not null")
     nodes = checkpointed(full.groupBy("fp").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     keys = nodes.select("node", "sig").mapInArrow(_keyed, "node bigint, bucket bigint")
-    sigs = nodes.select("node", "n", "sig")
-    columns = ["bucket", "x", "y", "blk", "node", "n", "sig"]
-    met = checkpointed(regrouped(shared_buckets(keys, "node").join(sigs, "node").select(*columns)))
-    first = checkpointed(met.mapInArrow(_near(percent, False), "a bigint, b bigint, bucket bigint"))
-    some = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = checkpointed(docs.join(some, F.col("id") == F.col("node"), "left_semi").select(F.col("id").alias("node"), "text").distinct())
-    links = checkpointed(_confirmed(first.groupBy("b").agg(F.min("a").alias("a")), texts, size, percent))
-    joined = components(links).withColumnRenamed("component", "c")
-    # what is left: pairs within the distance whose documents aren't joined yet
-    open_ = met.join(first.select("bucket").distinct(), "bucket", "left_semi").join(some, "node", "left_semi").join(joined, "node", "left")
-    rest = open_.select(*columns, F.coalesce("c", "node").alias("c"))
-    rest = regrouped(rest).mapInArrow(_near(percent, True), "a bigint, b bigint, bucket bigint").select("a", "b").distinct()
+    met = checkpointed(_met(keys, nodes.select("node", "n", "sig")))
+    link = "a bigint, b bigint"
+    near = regrouped(met.withColumn("c", F.col("node"))).mapInArrow(_near(percent), link)
+    clusters = components(near).withColumnRenamed("component", "c")
+    large = met.where("nb > 1")
+    if not large.isEmpty():
+        clusters = merged(clusters, regrouped(_met_again(large, clusters)).mapInArrow(_near(percent), link).distinct())
+    links = _confirmed(checkpointed(clusters), docs, size, percent)
     tied = full.groupBy("id").agg(F.min("fp").alias("s"), F.max("fp").alias("t")).where("s <> t").select("id")
     tied = full.select("id", "fp").join(tied, "id").join(nodes.select("fp", "node"), "fp").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    more = checkpointed(_confirmed(rest, texts, size, percent).unionByName(tied))
-    final = components(links.unionByName(more)).select("node", F.col("component").alias("c"))
+    final = components(links.unionByName(tied)).withColumnRenamed("component", "c")
     by_set = nodes.select("fp", "node").join(final, "node", "left").select("fp", F.coalesce("c", "node").alias("c"))
     out = signed.join(by_set, "fp", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
