@@ -72,8 +72,8 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", keep: lis
     each = [max(1, int(given.get(s, 1))) for s in names]
     slots = schedule(each)
     plan_rows = [
-        F.struct(F.lit(s).cast("string").alias("_source"), F.lit(counts[s]).cast("bigint").alias("_n"), F.lit(",".join(map(str, own))).alias("_slots"))
-        for s, own in zip(names, slots, strict=True)
+        F.struct(F.lit(i).alias("_i"), F.lit(s).cast("string").alias("_source"), F.lit(counts[s]).cast("bigint").alias("_n"), F.lit(",".join(map(str, own))).alias("_slots"))
+        for i, (s, own) in enumerate(zip(names, slots, strict=True))
     ]
     spark = df.sparkSession
     if not plan_rows:
@@ -84,11 +84,11 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", keep: lis
     rows = rows.join(F.broadcast(plan), F.col("_s").eqNullSafe(F.col("_source")))  # MAX_SOURCES rows at most
     ranges = F.ceil(F.col("_n") / RANGE_ROWS)
     rows = rows.withColumn("_range", F.floor(F.col("_h") * ranges / F.lit(1 << 32)).cast("bigint"))
-    ahead = rows.groupBy("_source", "_range").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = ahead.select(F.col("_source").alias("_s2"), F.col("_range").alias("_r2"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_source", "_range").orderBy("_h", "_id")))
-    rows = rows.join(ahead, F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_range") == F.col("_r2")))
+    ahead = rows.groupBy("_i", "_range").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("_i").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ahead.select("_i", "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    # the window and the join need the same partitioning, so rows are shuffled once
+    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_i", "_range").orderBy("_h", "_id"))).join(ahead, ["_i", "_range"])
     rank = (F.col("_before") + F.col("_rn") - 1).cast("bigint")
     block = F.floor(rank / block_rows).cast("bigint")
     share = F.size("_slots")
