@@ -145,14 +145,15 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", smoothing: float
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["l", "b", "n"])
 
-    counts = rows.mapInArrow(count, "l string, b int, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(count, "l string, b int, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n")).persist()
     docs = counts.where(F.col("b") == BUCKETS + 1)
     languages = sorted(r[0] for r in docs.select("l").limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    table = counts.toArrow()  # at most languages x BUCKETS rows
+    counts.unpersist()
     if not languages:
         return LanguageModel()
-    table = counts.toArrow()  # at most languages x BUCKETS rows
     matrix = np.zeros((len(languages), BUCKETS + 2))
     where = {label: i for i, label in enumerate(languages)}
     labels = table.column("l").combine_chunks().dictionary_encode()
