@@ -37,6 +37,9 @@ MARKS = frozenset(
     toolbar pagination pager search searchbox skip copyright legal disclaimer outbrain taboola dialog""".split()
 )
 
+#: Of these, what marks an article element itself: its other class words may tell what it is about.
+ARTICLE_MARKS = frozenset("comment comments reply replies related ad ads advert advertisement".split())
+
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)""",
@@ -47,13 +50,13 @@ _WORD = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _marked(attributes: str, in_article: bool) -> bool:
+def _marked(attributes: str, in_article: bool, marks: frozenset[str] = MARKS) -> bool:
     """Whether attributes say that an element is boilerplate or hidden."""
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "").lower()
         name = name.lower()
         if name in ("class", "id", "role", "itemprop", "aria-label") and (words := _WORD.findall(value)):
-            if MARKS.intersection(words) or not in_article and "header" in words:
+            if marks.intersection(words) or marks is MARKS and not in_article and "header" in words:
                 return True
         elif name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
             return True
@@ -131,7 +134,7 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
                     break
                 if stack[k][0] not in INLINE and stack[k][0] != "p":
                     break
-        bad = name in BOILERPLATE or name == "header" and not articles or bool(attributes) and name not in ("html", "body") and _marked(attributes, articles > 0)
+        bad = name in BOILERPLATE or name == "header" and not articles or bool(attributes) and name not in ("html", "body") and _marked(attributes, articles > 0, ARTICLE_MARKS if name in ("article", "main") else MARKS)
         if name in ("article", "main") and not bad and not boiler:
             has_article = True
         stack.append((name, bad))

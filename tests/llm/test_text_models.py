@@ -188,6 +188,7 @@ PAGES = {
     "<html><body><div id=sidebar><p>" + "junk " * 9 + "</div><div><p>" + "text " * 40 + "</p><p>end</p></div></body>": "text " * 39 + "text end",
     "<script>var a='</p>';</script><style>p{}</style><article><p>a < b &lt;i&gt;</p><!-- c --></article>": "a < b <i>",
     "<article><header><h2>H</h2></header><p>a<b>b</b>c\n\t d</p><form><p>mail</p></form></article>": "H abc d",
+    "<main class='search notice'><article class='post social-issues'><p>kept</p><article class='comment'><p>no</p></article></article></main>": "kept",
     "<article><p>cut &am": "cut &am",
     "<article><p>cut</p": "cut",
     "<p>": "",
