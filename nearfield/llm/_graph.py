@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from nearfield.llm._common import checkpointed
 
+#: Parts that the nodes of one label are dealt to.
+SALTS = 16
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node that links reach.
@@ -22,9 +25,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # each node takes the smallest label that it or a neighbour has, and then that label's own label
         seen = both.join(labels.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").groupBy(F.col("u").alias("node")).agg(F.min("cv").alias("m"))
         step = labels.join(seen, "node").select("node", "c", F.least("c", "m").alias("n"))
-        # a key of its own has both sides of the join shuffled, and then Spark may split a label that many nodes have
-        jump = step.select((F.col("node") + F.lit(0)).alias("n"), F.col("n").alias("nn"))
-        new = checkpointed(step.join(jump, "n", "left").select("node", F.col("c").alias("old"), F.least("n", F.coalesce("nn", "n")).alias("c")))
+        # a label that many nodes have is dealt by salt, and the few labels in use are copied for each salt
+        used = step.select("n").distinct().join(step.select(F.col("node").alias("n"), F.col("n").alias("nn")), "n")
+        jump = used.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        step = step.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        new = checkpointed(step.join(jump, ["n", "salt"], "left").select("node", F.col("c").alias("old"), F.least("n", F.coalesce("nn", "n")).alias("c")))
         changed = new.where("old <> c").limit(1).count()
         labels = new.select("node", "c")
         if not changed:
