@@ -20,6 +20,8 @@ from nearfield.operators.filters import compile_filter
 from nearfield.plans import KnnPlan, choose
 from nearfield.session import ship_package
 
+#: Queries that make a block without further ado.
+FEW_QUERIES = 1024
 #: From stored values (rows x dimensions) to vectors: what quantised search decodes with.
 Decoder = Callable[[np.ndarray], np.ndarray]
 
@@ -145,6 +147,12 @@ def _arrow_hits(
 def query_blocks(asked: DataFrame, plan: str | KnnPlan) -> Iterator[tuple[list, np.ndarray]]:
     """The queries as (ids, matrix) blocks; a driver holds one block at a time. Null query vectors are left out."""
     asked = asked.where("qvec is not null")
+    few = min(FEW_QUERIES, plan.query_rows) if isinstance(plan, KnnPlan) else FEW_QUERIES
+    head = asked.limit(few + 1).toArrow()  # one job, if that is all
+    if head.num_rows <= few:
+        if head.num_rows:
+            yield head.column("qid").to_pylist(), matrix(head.column("qvec").combine_chunks()).astype(np.float64)
+        return
     first = asked.select(F.size("qvec")).first()
     if first is None:
         return
