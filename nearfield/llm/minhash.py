@@ -3,7 +3,7 @@
 A document's word shingles give 32 minimum hashes of 16 bits. Signatures are cut into 8 chunks of 4 symbols: two that
 differ in at most 15 symbols have a chunk with at most one error (pigeonhole), so keys of each chunk with each symbol left
 out in turn bring together every such pair. At Jaccard similarity 0.8 a pair differs in 16 or more with probability
-below 1e-4. Pairs within the distance are confirmed on the full shingle sets.
+below 2e-4. Pairs within the distance are confirmed on the full shingle sets.
 
 Equal sets are collapsed first. A bucket reports which of its members hang together, with a link for each member at most;
 larger buckets do so block by block, and then once more for members that the blocks left apart. The full shingle sets of each
