@@ -82,16 +82,17 @@ def _signed(size: int):
                     fp[i] = np.array([u.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(u)), len(u)], np.uint64).tobytes()
                     sig[i] = symbols[j].tobytes()
 
-            long: dict[int, list[np.ndarray]] = {}
+            left = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            begun: list[np.ndarray] = []
             for data, starts, rows in text_chunks(batch.column("text")):
                 words, per_doc = word_hashes(data, starts)
-                if len(rows) == 1:  # perhaps a piece of a long text
-                    long.setdefault(int(rows[0]), []).append(words)
-                else:
-                    sign(rows, words, per_doc)
-            for i, parts in long.items():
-                words = np.concatenate(parts)
-                sign(np.array([i]), words, np.array([len(words)]))
+                left[rows] -= np.diff(np.append(starts, len(data)))
+                if left[rows[-1]]:  # a piece that isn't the last of its text is a run of its own; the last may share one
+                    begun.append(words)
+                    continue
+                per_doc[0] += sum(map(len, begun))
+                sign(rows, np.concatenate([*begun, words]), per_doc)
+                begun = []
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(count), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n", "fp", "sig"])
 
     return run

@@ -4,13 +4,14 @@ from functools import partial
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nearfield.llm import _blocks, decontam, embeddings, minhash
-from nearfield.llm._common import plain_words, word_hashes, words_of
+from nearfield.llm._common import plain_words, text_chunks, word_hashes, words_of
 from nearfield.llm._graph import components, merged
 from tests.conftest import SF001, SF01
 
@@ -122,6 +123,18 @@ def test_near_duplicate_edges(spark):
     assert minhash.near_duplicates(df.where("text is null")).first()["n_shingles"] == 0
 
 
+def test_long_texts_are_signed_whole(monkeypatch):
+    """Pieces of a long text count together, also where the last of them shares a run with short texts."""
+    same = "one two three four five six seven eight "
+    texts = ["short one", same + "nine ten eleven", "short two", same + "other words here", "short three", None, "a b c d e f g h " * 9, "", "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    whole = [b.to_pylist() for b in minhash._signed(2)(iter([batch]))]
+    assert [r["n"] for r in whole[0]] == [len(minhash.shingles(words_of(t), 2)) for t in texts] and whole[0][1]["fp"] != whole[0][3]["fp"]
+    for limit in (11, 20, 39, 50):
+        monkeypatch.setattr(minhash, "text_chunks", partial(text_chunks, limit=limit))
+        assert [b.to_pylist() for b in minhash._signed(2)(iter([batch]))] == whole
+
+
 def test_shared_counts(monkeypatch):
     rng = np.random.default_rng(2)
     monkeypatch.setattr(minhash, "COLUMNS", 7)
