@@ -156,20 +156,18 @@ def main_text(html: str | None) -> str:
     if not n or not max(sums):
         return ""
     surge = min(SURGE, max(sums) / 2) if not has_article else 0
-    regions: list[tuple[int, int, int]] = []
+    regions: list[tuple[int, int]] = []
     i = 0
     while i < n:
         if weights[i] and sums[i] > surge:
             j = i
             while j < n and sums[j]:
                 j += 1
-            regions.append((i, j, sum(weights[i:j])))
+            regions.append((i, j))
             i = j
         else:
             i += 1
-    best = max(r[2] for r in regions)
-    keep = [r for r in regions if has_article or r[2] * 2 >= best]
-    return " ".join(lines[k][0] for a, b, _ in keep for k in range(a, b) if weights[k])
+    return " ".join(lines[k][0] for a, b in regions for k in range(a, b) if weights[k])
 
 
 def extract(df: DataFrame, keep: list[str], html: str = "html") -> DataFrame:

@@ -198,6 +198,14 @@ PAGES = {
 }
 
 
+def test_short_sections_between_menus_are_kept():
+    """A page of div elements only: a menu splits the text, and the lighter sections before and after it stay."""
+    menu = "<div>" + "".join(f"<div><a href=/{k}>related {k}</a></div>" for k in range(5)) + "</div>"
+    first, body, last = "intro " * 50, "body " * 400, "closing " * 20
+    page = f"<html><body><div>{first}</div>{menu}<div>{body}</div>{menu}<div>{last}</div></body></html>"
+    assert html_text.main_text(page) == " ".join(x.strip() for x in (first, body, last))
+
+
 @pytest.mark.parametrize("html", PAGES)
 def test_main_text(html):
     assert html_text.main_text(html) == PAGES[html]
