@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield import streaming
+from nearfield.operators import shards
 from nearfield.service import Client, Service, ServiceError, config_from_env
 from nearfield.sources import oplog
 from nearfield.sources.store import Config, QuantizerNotFitted, VectorStore
@@ -179,3 +180,17 @@ def test_log_as_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["op"], r["n"]) for r in spark.table("ops").collect()} == {("insert", 2), ("delete", 1)}
+
+
+def test_sharded_delete_and_compact(spark, tmp_path):
+    stores = [VectorStore(spark, str(tmp_path / f"s{k}"), Config(2, "euclidean")) for k in range(2)]
+    for s in stores:
+        s.insert_batch([[0.0, 1.0], [1.0, 0.0], [1.0, 1.0]])
+    assert shards.delete(stores, "1:2") and not shards.delete(stores, "1:2") and not shards.delete(stores, "0:7")
+    assert [sorted(r["id"] for r in s.live().collect()) for s in stores] == [[0, 1, 2], [0, 1]]
+    for wrong, error in (("2:0", IndexError), ("-1:0", IndexError), ("x", ValueError)):
+        with pytest.raises(error):
+            shards.delete(stores, wrong)
+    assert shards.delete(stores, "0:0") and len(shards.compact(stores)) == 2
+    renumbered = shards.compact(stores, renumber=True)
+    assert [sorted(map(tuple, m.collect())) for m in renumbered] == [[(1, 0), (2, 1)], [(0, 0), (1, 1)]]
