@@ -9,9 +9,10 @@ much to its score, so a passage whose other terms miss the rest for every item c
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.llm._common import append_columns, plain_words, read, small_batches
+from nearfield.llm._common import checkpointed, plain_words, read, small_batches
 
 #: Words in a passage, and from one to the next: a run of STRIDE words lies within some passage.
 PASSAGE, STRIDE = 128, 64
@@ -30,8 +31,11 @@ RETRIEVE = 0.6
 #: Of an item's five-word shingles, and of its answer's words, what the text must hold.
 OVERLAP, ANSWER = 0.8, 0.5
 SHINGLE = 5
-#: Items in one broadcast index at most; more items are dealt to several indexes, each of which meets all texts.
-MAX_ITEMS = 20_000
+#: Bytes of the items of one broadcast index, about. More items are dealt to several, which a task holds one after the other;
+#: statistics are those of all items, so that the number of indexes changes no result.
+PART_BYTES = 8 << 20
+#: Bytes of texts that meet each index at a time, where there are several.
+HELD_BYTES = 64 << 20
 K1, B = 1.2, 0.75
 
 
@@ -49,35 +53,38 @@ def parsed(item_id: int, text: str | None) -> Item:
     return Item(item_id, words, parts[-1] if len(parts) > 1 else words[len(words) - len(words) // 4 - 1 :])
 
 
+@dataclass
+class Statistics:
+    """Of all items: how many, their words, and items by word (those of an index's words are enough)."""
+
+    items: int
+    words: int
+    df: dict[bytes, int]
+
+
 @dataclass
 class BlockMaxIndex:
     """Postings by term, in blocks with their largest impact. Impacts are shares of each item's own threshold, so 1 is enough."""
 
     items: list[Item]
     block: int = 32
+    #: Of all items, if these are a part of them.
+    of_all: Statistics | None = None
     postings: dict[bytes, tuple[list[int], list[float], list[int], list[float], float]] = field(default_factory=dict)
     #: Terms that an item can't reach its threshold without, with (item, impact); what they must add up to.
     needed: dict[bytes, list[tuple[int, float]]] = field(default_factory=dict)
     least: list[float] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        n = len(self.items)
-        tf: list[dict[bytes, int]] = []
-        df: dict[bytes, int] = defaultdict(int)
-        for item in self.items:
-            counts: dict[bytes, int] = defaultdict(int)
-            for w in item.words:
-                counts[w] += 1
-            tf.append(counts)
-            for w in counts:
-                df[w] += 1
-        mean = sum(len(i.words) for i in self.items) / max(1, n)
+        tf = [Counter(item.words) for item in self.items]
+        of = self.of_all or Statistics(len(tf), sum(len(i.words) for i in self.items), Counter(w for counts in tf for w in counts))
+        n, df, mean = of.items, of.df, of.words / max(1, of.items)
         lists: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         for d, (item, counts) in enumerate(zip(self.items, tf, strict=True)):
             norm = K1 * (1 - B + B * len(item.words) / max(mean, 1e-9))
             own = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + norm) for w, c in counts.items()}
             spans = range(max(1, len(item.words) - STRIDE + 1))
-            full = min(sum(own[w] for w in set(item.words[s : s + STRIDE])) for s in spans)
+            full = min(math.fsum(own[w] for w in set(item.words[s : s + STRIDE])) for s in spans)  # the same in any order
             threshold = RETRIEVE * full
             if threshold <= 0:
                 self.least.append(2.0)
@@ -124,7 +131,7 @@ class BlockMaxIndex:
                 target = max(d + 1, upto)
                 move = cursors[: pivot + 1]
             elif cursors[0][0] == d:
-                score = sum(c[2][1][c[1]] for c in cursors[: pivot + 1])
+                score = math.fsum(c[2][1][c[1]] for c in cursors[: pivot + 1])
                 if score >= 1.0 - 1e-9:
                     out.append((d, score))
                 target, move = d + 1, cursors[: pivot + 1]
@@ -185,59 +192,107 @@ def overlaps(item: Item, words: list[bytes]) -> tuple[float, float]:
     return len(own & there) / max(1, len(own)), len(answer.intersection(words)) / max(1, len(answer))
 
 
+def _words_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, t) to (part, w, items, words): a row for each distinct word of an item, and one without word for the item itself."""
+    for batch in batches:
+        out: list[tuple[int, bytes | None, int, int]] = []
+        for part, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if words := plain_words(t):
+                out += [(part, w, 1, 0) for w in set(words)]
+                out.append((part, None, 1, len(words)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=["part", "w", "items", "words"])
+
+
 def indexes(items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> Iterator[BlockMaxIndex]:
-    """Indexes over all items, of about MAX_ITEMS each; at least one. Items without id, text or words are left out."""
+    """Indexes over all items, of about PART_BYTES each; at least one. Items without id, text or words are left out."""
     items = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    shards = max(1, -(-items.count() // MAX_ITEMS))
-    for s in range(shards):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == s).toArrow()
+    parts = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // PART_BYTES))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int"))
+    by_word = None
+    if parts > 1:
+        small_batches(items.sparkSession)
+        seen = checkpointed(dealt.select("part", "t").mapInArrow(_words_of_items, "part int, w binary, items bigint, words bigint"))
+        n, words = seen.where("w is null").agg(F.sum("items"), F.sum("words")).first()
+        by_word = checkpointed(seen.where("w is not null").groupBy("w").agg(F.sum("items").alias("df")))
+    for p in range(parts):
+        of_all = None
+        if by_word is not None:
+            own = seen.where((F.col("part") == p) & F.col("w").isNotNull()).select("w").distinct().join(by_word, "w").toArrow()  # words of one part
+            of_all = Statistics(n or 0, words or 0, dict(zip(map(bytes, own.column("w").to_pylist()), own.column("df").to_pylist(), strict=True)))
+        part = dealt.where(F.col("part") == p).select("i", "t").toArrow()
         rows = sorted(zip(part.column("i").to_pylist(), part.column("t").to_pylist(), strict=True))
-        yield BlockMaxIndex([x for i, t in rows if (x := parsed(i, t)).words])
+        yield BlockMaxIndex([x for i, t in rows if (x := parsed(i, t)).words], of_all=of_all)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= size and held:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _each_index(shared: list) -> Iterator[BlockMaxIndex]:
+    """The broadcast indexes; where there are several, a task lets go of one before it loads the next."""
+    for s in shared:
+        yield s.value
+        if len(shared) > 1:
+            s.__dict__.pop("_value", None)
 
 
 def find_leaks(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, bm25, overlap, answer_overlap) of every text and every item that it holds.
+    """(doc_id, item_id, bm25, overlap, answer_overlap) of every text and every item that it holds, in one pass over the texts.
 
-    Null and empty texts and items, and items without an id, match nothing. Equal rows of ``df`` give equal rows; repeated
-    items (id and text) give one.
+    Null and empty texts and items, and items without an id, match nothing; ids of items are cast to bigint. Equal rows of
+    ``df`` give equal rows; repeated items (id and text) give one. The number of indexes changes no result.
     """
     spark = df.sparkSession
     small_batches(spark)
     schema = T.StructType([df.select(doc_id).schema[0], T.StructField("item_id", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("bm25", "overlap", "answer_overlap"))])
-    out = None
-    for index in indexes(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(index)
+    shared = [spark.sparkContext.broadcast(index) for index in indexes(items, item_id, item_text)]  # about PART_BYTES of items each
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                index = shared.value
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches, HELD_BYTES if len(shared) > 1 else 0):
+            texts = batch.column(1).to_pylist()
+            for index in _each_index(shared):
                 at: list[int] = []
                 found: list[tuple[int, float, float, float]] = []
-                for k, t in enumerate(batch.column(1).to_pylist()):
+                for k, t in enumerate(texts):
                     for item, *numbers in index.search(t) if t else ():
                         at.append(k)
                         found.append((item.item_id, *numbers))
                 columns = [pa.array([f[j] for f in found], pa.int64() if j == 0 else pa.float64()) for j in range(4)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=schema.names)
 
-        found = df.select(doc_id, F.col(text).cast("string")).mapInArrow(search, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return df.select(doc_id, F.col(text).cast("string")).mapInArrow(search, schema)
 
 
 def without_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text holds no item; null and empty texts stay."""
-    columns = df.columns
-    for index in indexes(items, item_id, item_text):
-        shared = df.sparkSession.sparkContext.broadcast(index)
+    """The rows of ``df``, with all its columns, whose text holds no item; null and empty texts stay."""
+    spark = df.sparkSession
+    small_batches(spark)
+    shared = [spark.sparkContext.broadcast(index) for index in indexes(items, item_id, item_text)]
+    place = df.columns.index(df.select(text).columns[0])
 
-        def clean(batch: pa.RecordBatch, shared=shared) -> list[pa.Array]:
-            return [pa.array([not (t and shared.value.search(t)) for t in batch.column(text).cast(pa.string()).to_pylist()])]
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches, HELD_BYTES if len(shared) > 1 else 0):
+            texts = batch.column(place).cast(pa.string()).to_pylist()
+            stays = [True] * len(texts)
+            for index in _each_index(shared):
+                stays = [s and not (t and index.search(t)) for s, t in zip(stays, texts, strict=True)]
+            yield batch.filter(pa.array(stays))
 
-        df = append_columns(df, columns, clean, [T.StructField("_clean", T.BooleanType())], [text]).where("_clean").select(*columns)
-    return df
+    return df.mapInArrow(clean, df.schema)
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
-    """doc_id, item_id, bm25, overlap, answer_overlap of every document and benchmark item that it holds."""
+    """doc_id, item_id, bm25, overlap, answer_overlap of every document and benchmark item that it holds.
+
+    Null and empty texts and items match nothing; equal rows give equal rows; either table empty gives none.
+    """
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -1,8 +1,9 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines (one for each block of text). Lines in boilerplate elements, and link text outside articles,
-weigh nothing; others weigh their length. Window sums over a few lines show where text surges and where it dives to nothing; the lines
-between are kept. Where a page marks its article, lines outside it weigh nothing either.
+Markup is stripped into lines (one for each block of text). A line weighs its length, less its link text outside articles;
+element names and class words only make that more or less: much less in boilerplate elements, less outside the article of a
+page that marks one, more inside it. Window sums over a few lines of one kind show where text surges and where it dives to
+nothing; the lines between are kept, and so boilerplate and stray lines go because they never surge.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ from nearfield.llm._common import append_columns, read
 
 #: Lines in a window: gaps of fewer weightless lines don't end the text.
 WINDOW = 4
-#: A window with more characters than this, or than half of the largest window, is a surge.
+#: A window that weighs more than this is a surge; on pages with less text, one that weighs more than half of the heaviest.
 SURGE = 60
+#: What a character weighs in a boilerplate element, and outside the article of a page that has one.
+BOILERPLATE_WEIGHT, OUTSIDE_WEIGHT = 0.02, 0.03
+#: Kinds of lines; each has its own distribution.
+BOILER, OUTSIDE, ARTICLE = range(3)
 
 # Element names of HTML, by what they mean for text.
 RAW = frozenset("script style template noscript iframe textarea select svg math canvas object audio video head title xmp noembed noframes".split())
@@ -37,6 +42,8 @@ MARKS = frozenset(
     toolbar pagination pager search searchbox skip copyright legal disclaimer outbrain taboola dialog""".split()
 )
 
+#: Open elements that a block ends; other blocks end an open paragraph.
+ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 #: Of these, what marks an article element itself: its other class words may tell what it is about.
 ARTICLE_MARKS = frozenset("comment comments reply replies related ad ads advert advertisement".split())
 
@@ -63,10 +70,13 @@ def _marked(attributes: str, in_article: bool, marks: frozenset[str] = MARKS) ->
     return re.search(r"(?:^|\s)hidden(?:\s|$)", attributes) is not None if "hidden" in attributes else False
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, weight, whether it is in an article) of each block; whether the page has an article."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(html: str) -> tuple[list[tuple[str, float, int]], bool]:
+    """(text, weight, kind) of each block; whether the page has an article. Takes time in proportion to the page."""
+    found: list[tuple[str, int, int]] = []  # text, link-free characters, kind
     stack: list[tuple[str, bool]] = []  # open elements; whether each is boilerplate
+    blocks: list[int] = []  # places in the stack of those that aren't inline
+    opened: dict[str, int] = {}
+    endless: set[str] = set()  # raw elements whose end tag doesn't come any more
     boiler = articles = links = 0
     has_article = False
     parts: list[str] = []
@@ -78,8 +88,8 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                weight = 0 if boiler else len(text) if articles else max(0, len(text) - linked)
-                out.append((text, weight, articles > 0))
+                kind = BOILER if boiler else ARTICLE if articles else OUTSIDE
+                found.append((text, len(text) if kind == ARTICLE else max(0, len(text) - linked), kind))
             parts.clear()
         linked = 0
 
@@ -87,6 +97,9 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
         nonlocal boiler, articles, links
         while len(stack) > upto:
             name, bad = stack.pop()
+            opened[name] -= 1
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
             boiler -= bad
             articles -= name in ("article", "main")
             links -= name == "a"
@@ -114,60 +127,70 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if name not in INLINE:
             flush()
         if ending:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            if opened.get(name):
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                close(k)
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
+            if end is None:
+                endless.add(name)
             at = end.end() if end else (n if name not in ("head", "svg", "math", "select", "object") else at)
             continue
         if name in VOID or attributes.endswith("/") and name not in ("p", "div", "span", "a", "li"):
             continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th") or name not in INLINE and stack and any(x == "p" for x, _ in stack[-3:]):
+        if name not in INLINE:
             # an open paragraph, item or cell ends where the next block begins
-            group = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(name, ("p",))
-            for k in range(len(stack) - 1, -1, -1):
+            group = ENDED_BY.get(name, ("p",))
+            for k in reversed(blocks):
                 if stack[k][0] in group:
                     close(k)
                     break
-                if stack[k][0] not in INLINE and stack[k][0] != "p":
+                if stack[k][0] != "p":
                     break
+            blocks.append(len(stack))
         bad = name in BOILERPLATE or name == "header" and not articles or bool(attributes) and name not in ("html", "body") and _marked(attributes, articles > 0, ARTICLE_MARKS if name in ("article", "main") else MARKS)
         if name in ("article", "main") and not bad and not boiler:
             has_article = True
         stack.append((name, bad))
+        opened[name] = opened.get(name, 0) + 1
         boiler += bad
         articles += name in ("article", "main")
         links += name == "a"
     flush()
-    return out, has_article
+    each = (BOILERPLATE_WEIGHT, OUTSIDE_WEIGHT if has_article else 1.0, 1.0)
+    return [(text, each[kind] * chars + SURGE * (kind == ARTICLE), kind) for text, chars, kind in found], has_article
+
+
+def window_sums(weights: list[float]) -> list[float]:
+    """The sum of each line's weight and those of the WINDOW - 1 lines after it."""
+    return [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+
+
+def between_surge_and_dive(weights: list[float], surge: float) -> list[int]:
+    """Lines with a weight from where a window surges on to where the windows have dived to nothing."""
+    out: list[int] = []
+    inside = False
+    for i, (w, s) in enumerate(zip(weights, window_sums(weights), strict=True)):
+        inside = s > 0 if inside else w > 0 and s > surge
+        if inside and w > 0:
+            out.append(i)
+    return out
 
 
 def main_text(html: str | None) -> str:
     """The text between surges and dives of the line-block distribution, blocks joined by a space; empty if there is none."""
     if not html:
         return ""
-    lines, has_article = lines_of(html)
-    weights = [w if inside or not has_article else 0 for _, w, inside in lines]
-    n = len(weights)
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    if not n or not max(sums):
-        return ""
-    surge = min(SURGE, max(sums) / 2) if not has_article else 0
-    regions: list[tuple[int, int]] = []
-    i = 0
-    while i < n:
-        if weights[i] and sums[i] > surge:
-            j = i
-            while j < n and sums[j]:
-                j += 1
-            regions.append((i, j))
-            i = j
-        else:
-            i += 1
-    return " ".join(lines[k][0] for a, b in regions for k in range(a, b) if weights[k])
+    lines, _ = lines_of(html)
+    each = [[w if k == kind else 0.0 for _, w, k in lines] for kind in (BOILER, OUTSIDE, ARTICLE)]
+    most = max(max(window_sums(each[kind]), default=0.0) for kind in (OUTSIDE, ARTICLE))
+    kept: list[int] = []
+    for kind, weights in enumerate(each):
+        kept += between_surge_and_dive(weights, SURGE if kind == BOILER else min(SURGE, most / 2))
+    return " ".join(lines[i][0] for i in sorted(kept))
 
 
 def extract(df: DataFrame, keep: list[str], html: str = "html") -> DataFrame:

@@ -184,23 +184,28 @@ def with_statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataF
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, limit: int) -> DataFrame:
-    """id, label and columns of ``docs`` for at most ``limit`` labelled ids, those whose ids hash lowest.
+    """id, label and columns of ``docs`` for at most ``limit`` labelled ids of ``docs``, those whose ids hash lowest; a row an id.
 
-    An id with labels that differ takes the more frequent, 1 if they are even.
+    An id with labels that differ takes the more frequent, 1 if they are even; of rows that share an id, the one whose
+    columns hash lowest counts.
     """
+    rest = [c for c in docs.columns if c != doc_id]
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
         .groupBy(doc_id)
         .agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("_label"))
+        .join(docs.select(doc_id).distinct(), doc_id, "left_semi")
         .orderBy(F.xxhash64(doc_id), doc_id)
         .limit(limit)
     )
-    return docs.join(F.broadcast(chosen), doc_id)  # ``limit`` rows of two numbers at most
+    rows = docs.join(F.broadcast(chosen), doc_id)  # ``limit`` rows of two numbers at most
+    one = F.min_by(F.struct(*rest), F.struct(F.xxhash64(*rest), *rest)).alias("_r")
+    return rows.groupBy(doc_id, "_label").agg(one).select(doc_id, "_label", *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", limit: int = MAX_TRAIN_ROWS) -> RuleModel:
     """Fit on a sample of at most ``limit`` labelled ids."""
-    rows = with_statistics(training_rows(docs.select(doc_id, text), labels, label, doc_id, limit), ["_label"], text).limit(2 * limit).toArrow()
+    rows = with_statistics(training_rows(docs.select(doc_id, text), labels, label, doc_id, limit), ["_label"], text).toArrow()
     return fit_rules(np.stack([rows.column(s).to_numpy() for s in STATISTICS], 1), rows.column("_label").to_numpy())
 
 

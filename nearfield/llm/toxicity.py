@@ -19,15 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.llm._common import append_columns, held_out, letters_only, read, remainder, small_batches
+from nearfield.llm._common import append_columns, checkpointed, held_out, letters_only, read, remainder, small_batches
 from nearfield.llm.quality import training_rows
 
 #: Labelled rows that a model is fitted on at most (those whose ids hash lowest).
 MAX_TRAIN_ROWS = 40_000
-#: Tokens with a positive score that a model keeps at most: the highest.
-MAX_LEXICON = 100_000
 #: Segments that chance makes less often than this in a text of its length are significant.
 E_VALUE = 0.05
+SIGNIFICANT = -float(np.log(E_VALUE))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -36,25 +35,28 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, past the last, score) of a sequence, in its order.
+    """All maximal scoring segments (first, past the last, score) of a sequence, in its order, in linear time.
 
     One pass over the positive scores, with the running total on either side of each candidate; a candidate joins the
-    nearest earlier one that starts lower whenever it ends higher.
+    nearest earlier one that starts lower whenever it ends higher. Each candidate knows the nearest earlier one that starts
+    lower than itself, so that the search skips those between, which start no lower.
     """
     total = np.cumsum(scores)
-    found: list[tuple[int, int, float, float]] = []  # first, past the last, total before, total after
-    for i in np.flatnonzero(scores > 0).tolist():
-        low, high, first = float(total[i] - scores[i]), float(total[i]), i
+    hits = np.flatnonzero(scores > 0)
+    highs = total[hits]
+    found: list[tuple[int, int, float, float, int]] = []  # first, past the last, total before, total after, where one starts lower
+    for i, low, high in zip(hits.tolist(), (highs - scores[hits]).tolist(), highs.tolist(), strict=True):
+        first, k = i, len(found) - 1
         while True:
-            k = len(found) - 1
             while k >= 0 and found[k][2] >= low:
-                k -= 1
+                k = found[k][4]
             if k < 0 or found[k][3] >= high:
-                found.append((first, i + 1, low, high))
+                found.append((first, i + 1, low, high, k))
                 break
-            first, low = found[k][0], found[k][2]
+            first, _, low, _, before = found[k]
             del found[k:]
-    return [(a, b, high - low) for a, b, low, high in found]
+            k = before
+    return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
 #: Bytes of a stem. Words of one stem share the prior of their odds.
@@ -84,9 +86,11 @@ class ToxicityModel:
         return self.lam * score - float(np.log(self.k * max(1, n)))
 
     def evidence(self, found: list[tuple[int, int, float]], n: int) -> list[float]:
-        """Features of a text of ``n`` tokens: that of its best segment, all scores, segments, tokens (logarithms)."""
-        top = max((s for _, _, s in found), default=0.0)
-        return [min(20.0, max(-5.0, self.chance(top, n))), float(np.log1p(self.lam * sum(s for _, _, s in found))), float(np.log1p(len(found))), float(np.log1p(n))]
+        """Features of a text of ``n`` tokens: chance of its best segment; scores and number of the significant ones; tokens."""
+        told = [self.chance(s, n) for _, _, s in found]
+        sure = [e for e in told if e > SIGNIFICANT]
+        top = max(told, default=self.chance(0.0, n))
+        return [min(20.0, max(-5.0, top)), float(np.log1p(sum(sure))), float(np.log1p(len(sure))), float(np.log1p(n))]
 
     def probability(self, found: list[tuple[int, int, float]], n: int) -> float:
         z = self.calibration[0] + sum(w * x for w, x in zip(self.calibration[1:], self.evidence(found, n), strict=True))
@@ -135,7 +139,9 @@ def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text",
     limit: int = MAX_TRAIN_ROWS, prior: float = 4.0, drift: float = 1.5, support: int = 3,
 ) -> ToxicityModel:
-    """Fit on a sample of at most ``limit`` labelled ids, less near copies; one part gives token odds, the other the calibration.
+    """Fit on a sample of at most ``limit`` labelled ids, one text of each, less near copies.
+
+    One part of the sample gives token odds, the other the calibration. The lexicon has all tokens of the sample that score.
 
     The Dirichlet prior of a token has ``prior`` pseudo-counts, dealt to the classes as the tokens of its stem are; that
     of a stem is dealt as all tokens are. A token needs ``support`` texts. Without both classes every text scores the
@@ -149,6 +155,7 @@ def fit(
 
     sketched = append_columns(rows.where("t is not null"), ["_label", "t", "part"], sketch, [T.StructField("sketch", T.LongType())])
     distinct = sketched.groupBy("sketch", "_label").agg(F.min_by(F.struct("t", "part"), F.xxhash64("t")).alias("r")).select("_label", "r.t", "r.part")
+    distinct = checkpointed(distinct)  # counts and evidence both read it
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: tuple[Counter, Counter] = (Counter(), Counter())
@@ -173,12 +180,13 @@ def fit(
     share = F.coalesce("share", F.lit(t1 / (t0 + t1)))
     odds = F.log((F.col("n1") + prior * share) / (F.col("n0") + prior * (1 - share))) - base
     scored = counts.where(F.col("n0") + F.col("n1") >= support).join(stems, F.substring("w", 1, STEM) == F.col("stem"), "left")
-    top = scored.select("w", "n0", (odds - drift).alias("s")).where("s > 0").orderBy(F.desc("s"), "w").limit(MAX_LEXICON).toArrow()
-    roots = stems.select("stem", (F.log(F.col("share") / (1 - F.col("share"))) - base - drift).alias("s")).where("s > 0").orderBy(F.desc("s"), "stem").limit(MAX_LEXICON).toArrow()
+    top = scored.select("w", "n0", (odds - drift).alias("s")).where("s > 0").toArrow()  # words of a bounded sample
+    roots = stems.select("stem", (F.log(F.col("share") / (1 - F.col("share"))) - base - drift).alias("s")).where("s > 0").toArrow()
     counts.unpersist()
     lexicon = dict(zip(map(bytes, top.column("w").to_pylist()), top.column("s").to_pylist(), strict=True))
-    values = np.append(top.column("s").to_numpy(), -drift)
-    clean = np.append(top.column("n0").to_numpy() + prior / 16, 0.0)
+    order = np.lexsort((top.column("n0").to_numpy(), top.column("s").to_numpy()))  # sums don't depend on the order in which rows came
+    values = np.append(top.column("s").to_numpy()[order], -drift)
+    clean = np.append(top.column("n0").to_numpy()[order] + prior / 16, 0.0)
     clean[-1] = max(1.0, t0 - clean.sum())
     lam, k = extreme_values(values, clean)
     model = ToxicityModel(lexicon, dict(zip(map(bytes, roots.column("stem").to_pylist()), roots.column("s").to_pylist(), strict=True)), drift, lam, k)
@@ -193,7 +201,7 @@ def fit(
                     out.append((y, *shared.value.evidence(shared.value.scored(words), len(words))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.float64()) for i in range(5)], names=list("yabcd"))
 
-    seen = distinct.mapInArrow(evidence, "y double, a double, b double, c double, d double").limit(limit).toArrow()
+    seen = distinct.mapInArrow(evidence, "y double, a double, b double, c double, d double").toArrow()  # at most ``limit`` rows of numbers
     x = np.column_stack([seen.column(c).to_numpy() for c in "abcd"])
     y = seen.column("y").to_numpy()
     order = np.lexsort([*x.T, y])
@@ -217,7 +225,7 @@ def detect(df: DataFrame, model: ToxicityModel, keep: list[str], text: str = "te
             score.append(m.probability(every, len(words)))
             if spans:
                 told = [(a, b, s, m.chance(s, len(words))) for a, b, s in every]
-                found.append([{"first": a, "past": b, "score": s, "evidence": e, "text": b" ".join(words[a:b]).decode("utf-8", "replace")} for a, b, s, e in told if e > -np.log(E_VALUE)])
+                found.append([{"first": a, "past": b, "score": s, "evidence": e, "text": b" ".join(words[a:b]).decode("utf-8", "replace")} for a, b, s, e in told if e > SIGNIFICANT])
         out = [pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())]
         if spans:
             out.append(pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32()), ("score", pa.float64()), ("evidence", pa.float64()), ("text", pa.string())]))))

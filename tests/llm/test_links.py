@@ -260,19 +260,45 @@ def test_leaks_of_documents_equal_containment(spark):
     assert got == want and len(want) > 10
 
 
-def test_leak_edges(spark, monkeypatch):
-    question = "Which river runs through the old capital of the northern province? The answer is the winding silver river."
-    items = spark.createDataFrame([(1, question), (1, question), (2, None), (3, ""), (None, "text without id"), (4, "two words")], "item_id long, text string")
+QUESTION = "Which river runs through the old capital of the northern province? The answer is the winding silver river."
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame([(1, QUESTION), (1, QUESTION), (2, None), (3, ""), (None, "text without id"), (4, "two words")], "item_id long, text string")
+
+
+def test_leak_edges(spark, items):
     filler = " ".join(f"filler{i}" for i in range(3000))
-    docs = [(1, None), (2, ""), (3, filler + " " + question.upper() + " " + filler), (None, question), (3, question.replace("winding", "narrow")), (4, question.split("?")[0]), (5, filler), (6, "these two words here")]
-    df = spark.createDataFrame([(*d, 0.5) for d in docs], "doc_id long, text string, bm25 double")
-    want = sorted([(3, 1), (None, 1), (3, 1), (6, 4)], key=str)
+    # the seventh text lacks 3 of 14 shingles, the eighth the answer
+    docs = [(1, None), (2, ""), (3, filler + " " + QUESTION.upper() + " " + filler), (None, QUESTION), (7, QUESTION.replace("winding", "narrow")), (8, QUESTION.split("?")[0]), (5, filler), (6, "these two words here"), (6, "these two words here")]
+    df = spark.createDataFrame([(*d, 0.5, True) for d in docs], "doc_id long, text string, bm25 double, _clean boolean")
     rows = decontam.find_leaks(df, items).collect()
-    assert sorted(((r["doc_id"], r["item_id"]) for r in rows), key=str) in (want, [w for w in want if w != (3, 1)] + [(3, 1)], sorted([(3, 1), (None, 1), (6, 4)], key=str))
-    assert any(r["doc_id"] == 3 and r["overlap"] == 1.0 for r in rows)
-    clean = decontam.without_leaks(df, items)
-    assert clean.columns == df.columns and {1, 2, 4, 5} <= {r["doc_id"] for r in clean.collect()}
+    assert sorted(((r["doc_id"], r["item_id"]) for r in rows), key=str) == sorted([(3, 1), (None, 1), (6, 4), (6, 4)], key=str)
+    assert all(r["overlap"] == 1.0 for r in rows)
+    clean = decontam.without_leaks(df.withColumn("_clean", F.col("doc_id") == 2), items)
+    assert clean.columns == df.columns and sorted((r["doc_id"], r["_clean"]) for r in clean.collect()) == [(1, False), (2, True), (5, False), (7, False), (8, False)]
     assert decontam.find_leaks(df.limit(0), items).count() == 0 and decontam.find_leaks(df, items.limit(0)).count() == 0
-    monkeypatch.setattr(decontam, "MAX_ITEMS", 1)
-    assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, items).collect()} >= {(3, 1), (None, 1)}
     assert decontam.find_leaks(spark.read.parquet(str(SF001 / "documents.parquet")).limit(0), items).columns == ["doc_id", "item_id", "bm25", "overlap", "answer_overlap"]
+
+
+def test_leaks_are_the_same_for_any_number_of_indexes(spark, monkeypatch):
+    """Texts with parts of items, for which thresholds matter, against one index and several."""
+    items = spark.read.parquet(str(SF01 / "benchmark.parquet"))
+    rng = np.random.default_rng(6)
+    texts = []
+    for r in items.collect():
+        words = r["text"].split()
+        for share in (0.8, 0.85, 0.9, 1.0):
+            own = words[: int(len(words) * share)] if rng.random() < 0.5 else words[int(len(words) * (1 - share)) :]
+            texts.append(" ".join([*(f"f{int(x)}" for x in rng.integers(0, 99, 150)), *own, "and", "more"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = lambda: sorted(tuple(r) for r in decontam.find_leaks(df, items).collect())
+    one = found()
+    kept = sorted(r[0] for r in decontam.without_leaks(df, items).select("doc_id").collect())
+    monkeypatch.setattr(decontam, "PART_BYTES", 1000)
+    assert len(list(decontam.indexes(items))) > 5
+    assert found() == one and 40 < len(one) < len(texts)
+    assert sorted(r[0] for r in decontam.without_leaks(df, items).select("doc_id").collect()) == kept == sorted(set(range(len(texts))) - {r[0] for r in one})
+    monkeypatch.setattr(decontam, "HELD_BYTES", 1)
+    assert found() == one
