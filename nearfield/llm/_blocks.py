@@ -13,14 +13,25 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
+#: Parts that the members of a bucket are dealt to while its size is looked up and it is split.
+SALTS = 8
+
+
+def with_sizes(keys: DataFrame, node: str, size: str) -> DataFrame:
+    """The ``keys`` (bucket, node) whose bucket has other members, with their number; a common bucket goes to SALTS tasks."""
+    sizes = keys.groupBy("bucket").agg(F.count("*").alias(size)).where(F.col(size) > 1)
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = keys.withColumn("salt", F.pmod(F.xxhash64(node, F.lit(5)), F.lit(SALTS)).cast("int"))
+    return rows.join(sizes, ["bucket", "salt"]).drop("salt")
+
+
 def shared_buckets(keys: DataFrame, node: str, block: int = BLOCK) -> DataFrame:
     """(bucket, x, y, blk, node) of the ``keys`` (bucket, node) whose bucket has other members.
 
     A bucket of ``n`` members becomes ``ceil(n / block)`` blocks, and each member goes to every pair (x, y) of blocks that
     holds its own ``blk``; so every pair of members meets, in a group of about two blocks.
     """
-    sizes = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keys.join(sizes, "bucket").withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
+    rows = with_sizes(keys, node, "n").withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
     rows = rows.withColumn("blk", F.pmod(F.xxhash64(node, F.lit(11)), F.col("nb")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return rows.select("bucket", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), "blk", node)

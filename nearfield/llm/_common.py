@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,22 +34,34 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that the session names, and read it from there.
-
-    Lost executors then cost no recomputation of what went before. The folder is ``spark.checkpoint.dir``;
-    only a local session without one gets a temporary folder.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Have checkpoints go to ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir isn't set; it must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder, and read it from there: lost executors cost no recomputation of what went before."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """checkpointed() as a table in the same folder, for what is joined round after round.
+
+    A checkpoint keeps its plan's estimate of its size; those multiply in every join, and numbers whose digits double each
+    round soon take the planner longer than the work.
+    """
+    checkpoint_folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm._common import checkpointed
+from nearfield.llm._common import written
 
 #: Parts that the nodes of one label are dealt to.
 SALTS = 16
@@ -15,12 +15,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node that links reach.
 
     Each round takes the smallest label among neighbours and then halves the path to it, until no label changes. Only sums and minima by node are shuffled, so a node with
-    many links needs no room in one task. Labels are checkpointed each round.
+    many links needs no room in one task. Labels are written each round.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-    both = checkpointed(pairs.select(both.alias("e")).select("e.u", "e.v").distinct())
-    labels = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("m", "node").alias("c")))
+    both = written(pairs.select(both.alias("e")).select("e.u", "e.v").distinct())
+    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("m", "node").alias("c")))
     while True:
         # each node takes the smallest label that it or a neighbour has, and then that label's own label
         seen = both.join(labels.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").groupBy(F.col("u").alias("node")).agg(F.min("cv").alias("m"))
@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         used = step.select("n").distinct().join(step.select(F.col("node").alias("n"), F.col("n").alias("nn")), "n")
         jump = used.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         step = step.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-        new = checkpointed(step.join(jump, ["n", "salt"], "left").select("node", F.col("c").alias("old"), F.least("n", F.coalesce("nn", "n")).alias("c")))
+        new = written(step.join(jump, ["n", "salt"], "left").select("node", F.col("c").alias("old"), F.least("n", F.coalesce("nn", "n")).alias("c")))
         changed = new.where("old <> c").limit(1).count()
         labels = new.select("node", "c")
         if not changed:
@@ -45,7 +45,7 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     named = edges.select("a", "b")
     for side in ("a", "b"):
         named = named.join(labels.select(F.col("node").alias(side), F.col("c").alias(f"c_{side}")), side, "left")
-    named = checkpointed(named.select("a", "b", of("a").alias("ca"), of("b").alias("cb")))
+    named = written(named.select("a", "b", of("a").alias("ca"), of("b").alias("cb")))
     joined = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     nodes = labels.select("node", "c").unionByName(named.select(F.col("a").alias("node"), F.col("ca").alias("c"))).unionByName(named.select(F.col("b").alias("node"), F.col("cb").alias("c"))).distinct()
-    return nodes.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").select("node", F.coalesce("component", "c").alias("c"))
+    return written(nodes.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").select("node", F.coalesce("component", "c").alias("c")))

@@ -112,7 +112,7 @@ def link(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", la
 
     Vectors link when labels are equal and not null and their cosine is at least ``threshold``. Vectors that are null,
     zero, or hold null or non-finite components, and rows without an id, link with nothing. Rows that repeat an id with
-    the same vector are one vector; vectors of other sizes have no cosine.
+    the same vector are one vector; vectors of other sizes have no cosine. Ids are cast to bigint.
     """
     small_batches(df.sparkSession)
     id_type = df.schema[vec_id].dataType
@@ -140,7 +140,11 @@ def link(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", la
 
 
 def op10_embedding_links(spark, sf_dir: str) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every embedding, linked at cosine 0.93 within labels."""
+    """vec_id, n_links, component_id, kept of every embedding, linked at cosine 0.93 within labels.
+
+    Null ids, labels and vectors, zero vectors and those with null or non-finite components link with nothing; rows that
+    repeat an id with its vector are one; an empty table gives no rows.
+    """
     return link(read(spark, sf_dir, "embeddings"), threshold=0.93)
 
 

@@ -7,7 +7,9 @@ below 2e-4. Pairs within the distance are confirmed on the full shingle sets.
 
 Equal sets are collapsed first. A bucket reports which of its members hang together, with a link for each member at most;
 larger buckets do so block by block, and then once more for members that the blocks left apart. The full shingle sets of each
-cluster that arises are compared with each other, exactly and whether or not they shared a bucket, in groups of two blocks.
+cluster that arises are compared exactly, whether or not they shared a bucket: first block by block, then representatives of
+what the blocks joined, round after round, and at last every member outside the largest component with all others. Members of
+one component need no further comparison, so a cluster of copies costs what it holds, however large it is.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm._blocks import BLOCK, binary_matrix, groups, regrouped, roots
-from nearfield.llm._common import checkpointed, mix, read, small_batches, text_chunks, word_hashes, words_of
+from nearfield.llm._blocks import binary_matrix, groups, regrouped, roots, with_sizes
+from nearfield.llm._common import checkpointed, mix, read, small_batches, text_chunks, word_hashes, written
 from nearfield.llm._graph import components, merged
 
 SYMBOLS, CHUNKS = 32, 8
@@ -29,8 +31,12 @@ PER_CHUNK = SYMBOLS // CHUNKS
 KEYS = CHUNKS * PER_CHUNK
 #: Differing symbols up to which every pair is found: less than two for each chunk.
 DISTANCE = 2 * CHUNKS - 1
-#: Documents of a cluster whose shingle sets one block holds, about.
-CLUSTER_BLOCK = 256
+#: Members of a bucket that one group holds, about.
+BLOCK = 256
+#: Documents of a cluster whose shingle sets one block holds, about, and bytes of these sets.
+CLUSTER_BLOCK, CLUSTER_BYTES = 256, 16 << 20
+#: Rounds in which representatives are compared at most; what they leave apart is compared in full.
+ROUNDS = 6
 #: Shingles that a comparison of sets takes at a time.
 COLUMNS = 1 << 13
 _rng = np.random.default_rng(4)
@@ -145,8 +151,7 @@ def _near(percent: int):
 
 def _met(keys: DataFrame, sigs: DataFrame) -> DataFrame:
     """(bucket, x, y, blk, nb, node, n, sig) of the members of buckets that have others, in groups of a block each."""
-    sizes = keys.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    rows = keys.join(sizes, "bucket").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+    rows = with_sizes(keys, "node", "m").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("node", F.lit(11)), F.col("nb")).cast("int"))
     return rows.join(sigs, "node").select("bucket", F.col("blk").alias("x"), F.col("blk").alias("y"), "blk", "nb", "node", "n", "sig")
 
@@ -227,27 +232,65 @@ def _confirm(percent: int):
     return run
 
 
-def shingles(words: list[bytes], size: int) -> set:
-    """Distinct shingles; the whole sequence if it is shorter, and none without words."""
-    if len(words) < size:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[k:] for k in range(size)), strict=False))
+def _blocks() -> Column:
+    """Blocks of a group of nodes with n shingles each, by number and bytes."""
+    return F.ceil(F.greatest(F.count("*") / CLUSTER_BLOCK, F.sum("n") * 8 / CLUSTER_BYTES)).cast("int")
 
 
-def similar(a: set, b: set, percent: int) -> bool:
-    shared = len(a & b)
-    return bool(shared) and 100 * shared >= percent * (len(a) + len(b) - shared)
+def _own_block(nb: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(nb)).cast("int")
 
 
-def _confirmed(clusters: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) within the ``clusters`` (node, c), by the full texts of ``docs`` (id, text)."""
-    sizes = clusters.groupBy("c").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).cast("int").alias("nb"))
-    rows = clusters.join(sizes, "c").withColumn("blk", F.pmod(F.xxhash64("node", F.lit(13)), F.col("nb")).cast("int"))
+def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of ``rows`` (c, x, y, blk, node) that meet in a group (c, x, y), by their full ``sets``."""
+    met = rows.join(sets, "node").select(F.col("c").alias("bucket"), "x", "y", "blk", "node", "set")
+    return regrouped(met).mapInArrow(_confirm(percent), "a bigint, b bigint")
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """(c, x, y, blk, node) for ``rows`` (c, node, n, label): all pairs meet that aren't both in a cluster's largest component.
+
+    Blocks of the others meet each other and all blocks of the largest component, whose own blocks needn't meet.
+    """
+    each = rows.groupBy("c", "label").agg(F.count("*").alias("k"))
+    most = each.groupBy("c").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    rows = rows.join(most, "c").withColumn("other", F.col("label") != F.col("most"))
+    blocks = rows.groupBy("c", "other").agg(_blocks().alias("nb")).groupBy("c").agg(F.max(F.when(F.col("other"), F.col("nb"))).alias("qb"), F.max(F.when(~F.col("other"), F.col("nb"))).alias("mb"))
+    rows = rows.join(blocks, "c").withColumn("nb", F.when(F.col("other"), F.col("qb")).otherwise(F.col("mb"))).withColumn("blk", _own_block("nb", 19))
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    spot = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    zero, blk, qb, mb = F.lit(0), F.col("blk"), F.col("qb"), F.col("mb")
+    largest = F.transform(span(zero, qb - 1), lambda i: spot(i, blk))
+    # as x it meets every block of the largest and the later ones of the others, as y the earlier ones
+    others = F.concat(F.transform(span(zero, mb - 1), lambda j: spot(blk, j)), F.transform(span(blk, qb - 1), lambda j: spot(blk, mb + j)), F.transform(span(zero, blk - 1), lambda i: spot(i, mb + blk)))
+    rows = rows.withColumn("s", F.explode(F.when(F.col("other"), others).otherwise(largest)))
+    return rows.select("c", "s.x", "s.y", "blk", "node")
+
+
+def _confirmed(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, tied: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, c): components of the links within the ``clusters`` (node, c), by the full texts of ``docs``, and of ``tied`` links."""
+    sized = clusters.join(nodes.select("node", "n"), "node")
+    rows = checkpointed(sized.join(sized.groupBy("c").agg(_blocks().alias("nb")), "c").withColumn("blk", _own_block("nb", 13)))
     texts = docs.join(rows, F.col("id") == F.col("node"), "left_semi").select(F.col("id").alias("node"), "text")
     sets = checkpointed(texts.mapInArrow(_sets(size), "node bigint, set binary").distinct())
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select(F.col("c").alias("bucket"), F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), "blk", "node").join(sets, "node")
-    return regrouped(rows.select("bucket", "x", "y", "blk", "node", "set")).mapInArrow(_confirm(percent), "a bigint, b bigint")
+    within = lambda dealt: dealt.select("c", F.col("blk").alias("x"), F.col("blk").alias("y"), "blk", "node")
+    labels = components(_links(within(rows), sets, percent).unionByName(tied)).withColumnRenamed("component", "c")
+    large = rows.where("nb > 1").select("c", "node", "n")
+    if large.isEmpty():
+        return labels
+    of = lambda labels: large.join(labels.withColumnRenamed("c", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    for turn in range(ROUNDS):
+        told = of(labels).groupBy("c", "label").agg(F.min("node").alias("node"), F.min_by("n", "node").alias("n"))
+        several = told.groupBy("c").agg(_blocks().alias("nb"), F.count("*").alias("k")).where("k > 1")
+        told = written(told.join(several, "c").withColumn("blk", _own_block("nb", 23 + turn)))
+        found = written(_links(within(told), sets, percent))
+        if found.isEmpty():
+            break
+        labels = merged(labels, found)
+        if told.where("nb > 1").isEmpty():
+            break
+    apart = written(_apart(of(labels)))
+    return labels if apart.isEmpty() else merged(labels, _links(apart, sets, percent).distinct())
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -255,7 +298,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
     Documents link when 100 * shared >= percent * joint of their distinct ``size``-word shingles. Null, empty and wordless
     texts have none and link with nothing, as do rows without an id (component null, kept). Rows that share an id are one
-    document, which links where any of its texts does. kept marks the document with the smallest id of each component.
+    document, which links where any of its texts does. kept marks the document with the smallest id of each component. Ids
+    are cast to bigint.
     """
     small_batches(df.sparkSession)
     id_type = df.schema[doc_id].dataType
@@ -271,10 +315,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     large = met.where("nb > 1")
     if not large.isEmpty():
         clusters = merged(clusters, regrouped(_met_again(large, clusters)).mapInArrow(_near(percent), link).distinct())
-    links = _confirmed(checkpointed(clusters), docs, size, percent)
     tied = full.groupBy("id").agg(F.min("fp").alias("s"), F.max("fp").alias("t")).where("s <> t").select("id")
     tied = full.select("id", "fp").join(tied, "id").join(nodes.select("fp", "node"), "fp").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    final = components(links.unionByName(tied)).withColumnRenamed("component", "c")
+    final = _confirmed(checkpointed(clusters), nodes, docs, tied, size, percent)
     by_set = nodes.select("fp", "node").join(final, "node", "left").select("fp", F.coalesce("c", "node").alias("c"))
     out = signed.join(by_set, "fp", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))

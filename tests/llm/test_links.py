@@ -1,5 +1,6 @@
 """Near-duplicates, embedding links and decontamination against brute force."""
 
+import re
 from functools import partial
 from itertools import combinations
 
@@ -31,9 +32,16 @@ class Union:
         self.up[max(a, b)] = min(a, b)
 
 
+def plain_shingles(text, size):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if len(words) < size:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
 def brute_near(rows, size, percent=80):
     """id -> (shingles, component) by comparing all pairs that share a shingle."""
-    sets = {i: minhash.shingles(words_of(t), size) for i, t in rows}
+    sets = {i: plain_shingles(t, size) for i, t in rows}
     u = Union(sets)
     by = {}
     for i, s in sets.items():
@@ -44,7 +52,7 @@ def brute_near(rows, size, percent=80):
         for a, b in combinations(sorted(own), 2):
             if (a, b) not in seen and 0.8 * max(len(sets[a]), len(sets[b])) <= min(len(sets[a]), len(sets[b])):
                 seen.add((a, b))
-                if minhash.similar(sets[a], sets[b], percent):
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                     u.join(a, b)
     return {i: (len(s), u.root(i)) for i, s in sets.items()}
 
@@ -84,7 +92,7 @@ def test_shingle_counts(size):
     words, per = word_hashes(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])[:-1])
     h, each = minhash.shingle_hashes(words, per, size)
     at = np.append(0, np.cumsum(each))
-    assert [len(set(h[a:b].tolist())) for a, b in zip(at, at[1:], strict=False)] == [len(minhash.shingles(words_of(t), size)) for t in texts]
+    assert [len(set(h[a:b].tolist())) for a, b in zip(at, at[1:], strict=False)] == [len(plain_shingles(t, size)) for t in texts]
 
 
 def near_texts():
@@ -112,6 +120,46 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, size, block):
     assert len({c for _, c in got.values()}) < len(rows) - (20 if size == 2 else 8)
 
 
+def test_a_large_cluster_costs_what_it_holds(spark, monkeypatch):
+    """Near copies of one text in many blocks: the rows that meet grow as the cluster does, and nothing is lost."""
+    monkeypatch.setattr(minhash, "CLUSTER_BLOCK", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    met = []
+    links = minhash._links
+    monkeypatch.setattr(minhash, "_links", lambda rows, *a: met.append(rows.count()) or links(rows, *a))
+    sizes = {}
+    for n in (200, 800):
+        rows = []
+        for i in range(n):
+            w = base[:]
+            for k in rng.integers(0, 150, 3):
+                w[k] = f"x{int(rng.integers(0, 10**6))}"
+            rows.append((i, " ".join(w)))
+        met.clear()
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+        assert {r["component_id"] for r in got} == {0}
+        sizes[n] = sum(met)
+    assert sizes[800] < 5 * sizes[200] and sizes[800] < 3 * 800
+
+
+def test_members_apart_meet_all_others(spark, monkeypatch):
+    """Every pair with a member outside the largest component shares a group."""
+    monkeypatch.setattr(minhash, "CLUSTER_BLOCK", 3)
+    rows = [(0, i, 5, 100 if i % 3 else i) for i in range(40)] + [(1, 50 + i, 5, 50 + i) for i in range(7)] + [(2, 90 + i, 5, 90) for i in range(9)]
+    got = minhash._apart(spark.createDataFrame(rows, "c long, node long, n long, label long")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r["c"], r["x"], r["y"]), []).append(r["node"])
+    together = {p for own in groups.values() for p in combinations(sorted(own), 2)}
+    label = {node: (c, lab) for c, node, _, lab in rows}
+    for (a, (ca, la)), (b, (cb, lb)) in combinations(sorted(label.items()), 2):
+        if ca == cb and ca < 2 and (la != 100 or lb != 100) and not (ca == 1 and {a, b} == set()):
+            assert (a, b) in together or la == lb
+    assert not any(c == 2 for c, *_ in groups)
+
+
 def test_near_duplicate_edges(spark):
     long = " ".join(f"t{i}" for i in range(30000))
     rows = [(5, None), (6, ""), (7, " \n"), (8, "one"), (9, "One"), (10, "same words here"), (10, "same words here"), (3, "Same WORDS here"), (None, "same words here"), (11, long), (12, long + " tail"), (13, "ONE  "), (14, "É un"), (15, "é un")]
@@ -129,7 +177,7 @@ def test_long_texts_are_signed_whole(monkeypatch):
     texts = ["short one", same + "nine ten eleven", "short two", same + "other words here", "short three", None, "a b c d e f g h " * 9, "", "end"]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
     whole = [b.to_pylist() for b in minhash._signed(2)(iter([batch]))]
-    assert [r["n"] for r in whole[0]] == [len(minhash.shingles(words_of(t), 2)) for t in texts] and whole[0][1]["fp"] != whole[0][3]["fp"]
+    assert [r["n"] for r in whole[0]] == [len(plain_shingles(t, 2)) for t in texts] and whole[0][1]["fp"] != whole[0][3]["fp"]
     for limit in (11, 20, 39, 50):
         monkeypatch.setattr(minhash, "text_chunks", partial(text_chunks, limit=limit))
         assert [b.to_pylist() for b in minhash._signed(2)(iter([batch]))] == whole
