@@ -51,17 +51,19 @@ def root_shares(counts: Mapping[str | None, int]) -> dict[str | None, int]:
     return {s: max(1, math.floor(CYCLE * math.sqrt(n / most))) for s, n in counts.items()}
 
 
-def _order(doc_id: str) -> Column:
-    """32 bits of a hash of the id, which SQL elsewhere can compute as well; 0 for a null id."""
-    return F.coalesce(F.conv(F.substring(F.md5(F.col(doc_id).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(0))
+def _order(doc_id: str, rest: Column) -> Column:
+    """32 bits of a hash of the id, which SQL elsewhere can compute as well; of ``rest`` for a null id."""
+    own = F.conv(F.substring(F.md5(F.col(doc_id).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return F.coalesce(own, F.pmod(rest, F.lit(1 << 32)))
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", keep: list[str] | None = None, shares: Mapping[str | None, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``keep`` columns (all by default) with block, slot and position of every row; reading by position gives the mix.
 
     ``shares`` are whole-number weights by source; by default root_shares(), and 1 for a source that they lack. Every row
-    is kept once: a null source is a source of its own, rows with equal ids lie next to each other, and short last blocks
-    and sources that have run out leave gaps between positions.
+    is kept once: a null source is a source of its own, rows with equal ids lie next to each other in the order of a hash of
+    what is kept of them, and short last blocks and sources that have run out leave gaps between positions. Columns of
+    ``df`` that bear the name of a new one give way to it. More than MAX_SOURCES sources are refused.
     """
     keep = [c for c in (keep or df.columns) if c.lower() not in ("block", "slot", "position")]
     counts = {r[0]: r[1] for r in df.groupBy(source).count().limit(MAX_SOURCES + 1).collect()}
@@ -80,7 +82,9 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", keep: lis
         zero = F.lit(0).cast("bigint")
         return df.limit(0).select(*keep, zero.alias("block"), zero.alias("slot"), zero.alias("position"))
     plan = spark.range(1).select(F.inline(F.array(*plan_rows))).withColumn("_slots", F.split("_slots", ",").cast("array<bigint>"))
-    rows = df.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(source).cast("string").alias("_s"), F.col(doc_id).alias("_id"), _order(doc_id).alias("_h"))
+    plain = [f.name for f in df.select(*keep).schema if f.dataType.typeName() not in ("map", "variant")]
+    told = F.xxhash64(*plain) if plain else F.lit(0)
+    rows = df.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(source).cast("string").alias("_s"), F.col(doc_id).alias("_id"), told.alias("_t"), _order(doc_id, told).alias("_h"))
     rows = rows.join(F.broadcast(plan), F.col("_s").eqNullSafe(F.col("_source")))  # MAX_SOURCES rows at most
     ranges = F.ceil(F.col("_n") / RANGE_ROWS)
     rows = rows.withColumn("_range", F.floor(F.col("_h") * ranges / F.lit(1 << 32)).cast("bigint"))
@@ -88,7 +92,7 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", keep: lis
     before = Window.partitionBy("_i").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ahead = ahead.select("_i", "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
     # the window and the join need the same partitioning, so rows are shuffled once
-    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_i", "_range").orderBy("_h", "_id"))).join(ahead, ["_i", "_range"])
+    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_i", "_range").orderBy("_h", "_id", "_t"))).join(ahead, ["_i", "_range"])
     rank = (F.col("_before") + F.col("_rn") - 1).cast("bigint")
     block = F.floor(rank / block_rows).cast("bigint")
     share = F.size("_slots")
@@ -99,7 +103,10 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", keep: lis
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
-    """doc_id, source, block, slot, position of every document, with targets by the square root of the sources' sizes."""
+    """doc_id, source, block, slot, position of every document, with targets by the square root of the sources' sizes.
+
+    A null source is one of its own, a null id has a place, equal rows have a place each, and an empty table gives no rows.
+    """
     return mix(read(spark, sf_dir, "documents"), keep=["doc_id", "source"])
 
 

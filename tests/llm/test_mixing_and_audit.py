@@ -54,6 +54,13 @@ def test_mix_edges(spark):
     assert empty.columns == out.columns and empty.count() == 0 and empty.schema["position"].dataType.typeName() == "long"
 
 
+def test_rows_of_one_id_have_one_order(spark):
+    rows = [(7, "s", f"text {i}") for i in range(60)] + [(None, "s", f"none {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    places = [{r["text"]: r["position"] for r in mixing.mix(d, block_rows=8).collect()} for d in (df.coalesce(1), df.repartition(7), df.orderBy(F.desc("text")))]
+    assert places[0] == places[1] == places[2] and len(set(places[0].values())) == 120
+
+
 def test_mix_ranks_over_several_ranges(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 7)
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
@@ -188,4 +195,7 @@ def test_near_duplicate_stage_keeps_the_smallest_id(spark):
     words = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(9, words, "en", "a", 1), (4, words + " more", "en", "a", 1), (7, "something else entirely", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, str(SF001)).collect()) == [4, 7]
+    twice = docs.unionByName(spark.createDataFrame([(7, f"another text {k}", "en", "b", k) for k in range(9)], docs.schema))
+    kept = [sorted(map(tuple, corpus_pipeline.dedup_stage(spark, d, str(SF001)).collect())) for d in (twice.coalesce(1), twice.repartition(5))]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [4, 7]
     assert minhash.near_duplicates(docs).where("kept").count() == 2
