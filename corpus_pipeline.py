@@ -33,7 +33,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the rule ensemble, fitted on the labels of ``docs``, predicts to be of quality 1."""
+    """Keeps documents that the rule ensemble, fitted on the labels of ``docs``, predicts to be of quality 1.
+
+    Null and empty texts have all-zero statistics and go or stay by these; without labels all documents stay.
+    """
     renamed, back = _set_aside(docs, ("score", "predicted"))
     model = quality.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
     return back(quality.classify(renamed, model, renamed.columns).where("predicted = 1"))
@@ -42,21 +45,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group linked by five-word shingles at 0.8, and one row of it.
 
-    Rows without an id are in no group and stay.
+    Of rows that share an id, the one whose columns hash lowest stays. Rows without an id are in no group and stay, and null,
+    empty and wordless texts too.
     """
     found = minhash.near_duplicates(docs, size=5, percent=80)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = [c for c in docs.columns if c != "doc_id"]
+    plain = [f.name for f in docs.select(*rest).schema if f.dataType.typeName() not in ("map", "variant")]
+    order = F.struct(F.xxhash64(*plain), *plain)
+    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    rows = rows.select("doc_id", *(F.col(f"_row.`{c}`").alias(c) for c in rest))
     return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no benchmark item."""
+    """Keeps documents that hold no benchmark item; null and empty texts hold none."""
     return decontam.without_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with block, slot and position of the mix of their sources."""
+    """All documents with block, slot and position of the mix of their sources; a null source is one of its own."""
     return mixing.mix(docs)
 
 
