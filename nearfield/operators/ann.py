@@ -9,6 +9,7 @@ its results with the recall measured by nearfield.evaluate.
 from __future__ import annotations
 
 import heapq
+import io
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -227,47 +228,98 @@ class Graph:
         return [i for _, i in self._layer(q, near, max(ef or self.o.ef_search, k), 0)[:k]]
 
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """The graph as arrays, for from_arrays(): vectors, entry and top layer, and by layer its nodes, links of each, links."""
+        out = {"v": self.v, "at": np.array([self.entry, self.top])}
+        for layer, links in enumerate(self.links):
+            out[f"n{layer}"] = np.fromiter(links, np.int32, len(links))
+            out[f"c{layer}"] = np.fromiter(map(len, links.values()), np.int32, len(links))
+            out[f"l{layer}"] = np.array([j for own in links.values() for j in own], np.int32)
+        return out
+
+    @classmethod
+    def from_arrays(cls, data: Mapping[str, np.ndarray], metric: Metric, options: GraphOptions) -> Graph:
+        graph = cls(np.zeros((0, data["v"].shape[1])), metric, options)
+        graph.v = data["v"]
+        graph.entry, graph.top = (int(x) for x in data["at"])
+        for layer in range(graph.top + 1):
+            parts = np.split(data[f"l{layer}"], np.cumsum(data[f"c{layer}"])[:-1])
+            graph.links.append({int(i): own.tolist() for i, own in zip(data[f"n{layer}"], parts, strict=True)})
+        return graph
+
+
 #: Vectors of one graph at most: graphs are built in numpy, and larger parts become several.
 GRAPH_ROWS = 20_000
 
 
-def search_graphs(
-    vectors: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, options: GraphOptions | None = None,
-    ef_search: int | None = None, id_col: str = "id", vector_col: str = "vector", qid_col: str = "qid", qvec_col: str = "qvec",
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of runs of GRAPH_ROWS rows at most."""
+    ids: list[np.ndarray] = []
+    rows: list[np.ndarray] = []
+    held = 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, GRAPH_ROWS):
+            part = batch.slice(lo, GRAPH_ROWS)
+            if held and held + part.num_rows > GRAPH_ROWS:
+                yield np.concatenate(ids), np.concatenate(rows)
+                ids, rows, held = [], [], 0
+            ids.append(part.column(0).to_numpy())
+            rows.append(matrix(part.column(1)).astype(np.float64))
+            held += part.num_rows
+    if held:
+        yield np.concatenate(ids), np.concatenate(rows)
+
+
+def build_graphs(vectors: DataFrame, metric: Metric | str = Metric.COSINE, options: GraphOptions | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """(n, layers, graph): a graph over each run of at most GRAPH_ROWS rows of a partition. Write it, to search it often."""
+    metric, options = Metric(metric), options or GraphOptions()
+    ship_package(vectors.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, v in _parts(batches):
+            graph = Graph(v, metric, options)
+            packed = io.BytesIO()
+            np.savez(packed, ids=ids, raw=v, **graph.arrays())
+            yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([graph.top + 1], pa.int32()), pa.array([packed.getvalue()], pa.binary())], names=["n", "layers", "graph"])
+
+    source = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint"), vector_col)
+    return source.mapInArrow(run, "n bigint, layers int, graph binary")
+
+
+def search_built(
+    graphs: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, options: GraphOptions | None = None,
+    ef_search: int | None = None, qid_col: str = "qid", qvec_col: str = "qvec",
 ) -> DataFrame:
-    """(qid, rank, id, distance): hits of a graph over each run of at most GRAPH_ROWS rows of a partition, merged."""
+    """(qid, rank, id, distance): hits of the graphs of build_graphs(), merged. ``options`` give ef_search by default."""
     metric, options = Metric(metric), options or GraphOptions()
     if ef_search is not None and ef_search < 1:
         raise ValueError("ef_search must be at least 1")
-    spark = vectors.sparkSession
+    spark = graphs.sparkSession
     ship_package(spark)
     asked = queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).cast("array<double>").alias("qvec"))
     schema = T.StructType([asked.schema["qid"], T.StructField("id", T.LongType()), T.StructField("distance", T.DoubleType())])
-    blocks = list(query_blocks(asked, "auto"))
-    if len(blocks) > 1:
-        raise ValueError("too many queries for one pass over the graphs; split them")
+    out: DataFrame | None = None
+    for qids, block in query_blocks(asked, "auto"):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        def run(batches: Iterator[pa.RecordBatch], qids=qids, block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for packed in batch.column(0).to_pylist():
+                    data = np.load(io.BytesIO(packed))
+                    graph = Graph.from_arrays(data, metric, options)
+                    ids, raw = data["ids"], data["raw"]
+                    for qid, q in zip(qids, block, strict=True):
+                        near = graph.search(q, k, ef_search)
+                        d = distance_matrix(metric, raw[near], q[None])[:, 0]
+                        yield pa.RecordBatch.from_arrays([pa.array([qid] * len(near), type=pa.array(qids).type), pa.array(ids[near]), pa.array(d)], names=["qid", "id", "distance"])
+
+        hits = graphs.select("graph").mapInArrow(run, schema)
+        out = hits if out is None else out.unionByName(hits)
+    return top_k(spark.createDataFrame([], schema) if out is None else out, k).select("qid", "rank", "id", "distance")
 
-        def answer() -> Iterator[pa.RecordBatch]:
-            ids, v = (np.concatenate([h[i] for h in held]) for i in range(2))
-            graph = Graph(v, metric, options)
-            for qids, block in blocks:
-                near = [graph.search(q, k, ef_search) for q in block]
-                at = np.repeat(np.arange(len(qids)), [len(x) for x in near])
-                rows = np.array([i for x in near for i in x], np.int64)
-                d = np.array([distance_matrix(metric, v[[r]], block[[q]])[0, 0] for q, r in zip(at.tolist(), rows.tolist(), strict=True)], float)
-                yield pa.RecordBatch.from_arrays([pa.array(qids).take(pa.array(at)), pa.array(ids[rows]), pa.array(d)], names=["qid", "id", "distance"])
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append((batch.column(0).to_numpy(), matrix(batch.column(1)).astype(np.float64)))
-            if sum(len(h[0]) for h in held) >= GRAPH_ROWS:
-                yield from answer()
-                held = []
-        if held:
-            yield from answer()
 
-    source = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint"), vector_col)
-    return top_k(source.mapInArrow(run, schema) if blocks else spark.createDataFrame([], schema), k).select("qid", "rank", "id", "distance")
+def search_graphs(
+    vectors: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, options: GraphOptions | None = None,
+    ef_search: int | None = None, id_col: str = "id", vector_col: str = "vector", qid_col: str = "qid", qvec_col: str = "qvec",
+) -> DataFrame:
+    """(qid, rank, id, distance): graphs built for this search alone; write those of build_graphs() to search more than once."""
+    return search_built(build_graphs(vectors, metric, options, id_col, vector_col), queries, k, metric, options, ef_search, qid_col, qvec_col)

@@ -55,17 +55,18 @@ def typed_fields(schema: T.StructType) -> Resolver:
     return resolve
 
 
-def variant_fields(column: str = "metadata") -> Resolver:
+def variant_fields(metadata: str | Column = "metadata") -> Resolver:
     """Fields are keys of a VARIANT column; values of another type than the operand count as not comparable."""
+    column = F.col(metadata) if isinstance(metadata, str) else metadata
 
     def resolve(field: str, operand: Any) -> Column | None:
         path = '$["' + field.replace('"', '\\"') + '"]'
         kind = "boolean" if isinstance(operand, bool) else "double" if isinstance(operand, (int, float)) else "string"
-        value = F.try_variant_get(F.col(column), path, kind)
+        value = F.try_variant_get(column, path, kind)
         if operand is None:
-            return F.try_variant_get(F.col(column), path, "string")
+            return F.try_variant_get(column, path, "string")
         wanted = {"boolean": ["BOOLEAN"], "string": ["STRING"]}.get(kind)
-        found = F.schema_of_variant(F.try_variant_get(F.col(column), path, "variant"))
+        found = F.schema_of_variant(F.try_variant_get(column, path, "variant"))
         ok = found.isin(wanted) if wanted else ~found.isin("STRING", "BOOLEAN", "VOID")
         return F.when(ok, value)
 

@@ -145,7 +145,7 @@ def _arrow_hits(
 
 
 def query_blocks(asked: DataFrame, plan: str | KnnPlan) -> Iterator[tuple[list, np.ndarray]]:
-    """The queries as (ids, matrix) blocks; a driver holds one block at a time. Null query vectors are left out."""
+    """The queries as (ids, matrix) blocks of bounded size, which travel with the plan. Null query vectors are left out."""
     asked = asked.where("qvec is not null")
     few = min(FEW_QUERIES, plan.query_rows) if isinstance(plan, KnnPlan) else FEW_QUERIES
     head = asked.limit(few + 1).toArrow()  # one job, if that is all
@@ -203,15 +203,22 @@ def pairwise(vectors: DataFrame, queries: DataFrame, metric: Metric | str, id_co
     return vectors.sparkSession.createDataFrame([], "a bigint, b bigint, distance double") if out is None else out
 
 
-def vector_by_id(vectors: DataFrame, ids: Sequence[int], id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def _of_ids(vectors: DataFrame, ids: Sequence[int] | DataFrame, id_col: str) -> DataFrame:
+    """The rows of a few given ids, or of those in a DataFrame's first column."""
+    if isinstance(ids, DataFrame):
+        return vectors.join(ids.select(F.col(ids.columns[0]).alias(id_col)).distinct(), id_col, "left_semi")
+    return vectors.where(F.col(id_col).isin(list(ids)))
+
+
+def vector_by_id(vectors: DataFrame, ids: Sequence[int] | DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """The vectors of given ids; an id that isn't there gives no row."""
-    return vectors.where(F.col(id_col).isin(list(ids))).select(id_col, vector_col)
+    return _of_ids(vectors, ids, id_col).select(id_col, vector_col)
 
 
-def distances_to(vectors: DataFrame, query: Sequence[float], ids: Sequence[int], metric: Metric | str, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def distances_to(vectors: DataFrame, query: Sequence[float], ids: Sequence[int] | DataFrame, metric: Metric | str, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(id, distance) of the vectors of given ids to one query; no ids give no rows."""
     d = distance(metric, F.col(vector_col), F.lit([float(x) for x in query]))
-    return vectors.where(F.col(id_col).isin(list(ids))).select(F.col(id_col).alias("id"), d.alias("distance"))
+    return _of_ids(vectors, ids, id_col).select(F.col(id_col).alias("id"), d.alias("distance"))
 
 
 def live_count(vectors: DataFrame, deleted_col: str = "deleted") -> int:

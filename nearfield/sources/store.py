@@ -15,12 +15,15 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions.distance import Metric
+from nearfield.operators import ann
 from nearfield.operators import knn as exact
+from nearfield.operators.filters import compile_filter, typed_fields, variant_fields
 from nearfield.operators.quantize import MARGIN, Quantizer, clip_stats
 from nearfield.operators.quantize import fit as fit_quantizer
 from nearfield.sources import oplog
@@ -28,6 +31,8 @@ from nearfield.sources.files import Files
 
 #: Ids that one task numbers, about.
 NUMBER_ROWS = 100_000
+#: Column of the metadata that a store's configuration doesn't declare, as JSON; filters see its keys as fields.
+FREE = "_free"
 
 
 class QuantizerNotFitted(RuntimeError):
@@ -43,11 +48,23 @@ class Config:
     snapshot_every: int = 1000
     #: Spark types of metadata columns by name.
     metadata: dict[str, str] = field(default_factory=dict)
+    #: Of graphs: links of a node, candidates while building and by default while searching, seed of the levels.
+    m: int = 16
+    ef_construction: int = 200
+    ef_search: int = 50
+    seed: int = 42
 
     def __post_init__(self) -> None:
         if self.dim < 1:
             raise ValueError("dim must be at least 1")
         Metric(self.metric)
+        if FREE in self.metadata:
+            raise ValueError(f"{FREE} is the column of undeclared metadata")
+        self.graph  # noqa: B018
+
+    @property
+    def graph(self) -> ann.GraphOptions:
+        return ann.GraphOptions(self.m, self.ef_construction, self.ef_search, self.seed)
 
 
 class VectorStore:
@@ -63,7 +80,7 @@ class VectorStore:
             raise ValueError("a new store needs a configuration")
         else:
             self.config = config
-            self.manifest: dict[str, Any] = {"version": 0, "next_seq": 0, "next_id": 0, "writes": 0, "snapshot": None, "snapshot_seq": -1, "log": [], "quantizer": None, "config": asdict(config)}
+            self.manifest: dict[str, Any] = {"version": 0, "next_seq": 0, "next_id": 0, "writes": 0, "snapshot": None, "snapshot_seq": -1, "log": [], "quantizer": None, "index": None, "config": asdict(config)}
             self._publish()
 
     def __enter__(self) -> VectorStore:
@@ -101,10 +118,22 @@ class VectorStore:
 
     @property
     def _fields(self) -> list[str]:
-        return ["vector", *self.config.metadata]
+        return ["vector", *self.config.metadata, FREE]
+
+    @property
+    def _kept(self) -> list[str]:
+        return [*self.config.metadata, FREE]
+
+    def where(self, spec: Mapping[str, Any] | Column | None) -> Column | None:
+        """The predicate of a filter over declared metadata (columns) and undeclared (keys of JSON)."""
+        if spec is None or isinstance(spec, Column):
+            return spec
+        own = typed_fields(T._parse_datatype_string(", ".join(f"`{c}` {t}" for c, t in self.config.metadata.items())) if self.config.metadata else T.StructType())
+        free = variant_fields(F.parse_json(FREE))
+        return compile_filter(spec, lambda name, operand: (own if name in self.config.metadata else free)(name, operand))
 
     def _log_schema(self) -> T.StructType:
-        columns = ["seq bigint", "ts double", "op string", "id bigint", f"vector {self._stored}", *(f"`{c}` {t}" for c, t in self.config.metadata.items())]
+        columns = ["seq bigint", "ts double", "op string", "id bigint", f"vector {self._stored}", *(f"`{c}` {t}" for c, t in self.config.metadata.items()), f"`{FREE}` string"]
         return T._parse_datatype_string(", ".join(columns))
 
     # ---- writing
@@ -137,21 +166,20 @@ class VectorStore:
         return self.insert_batch([vector], [metadata or {}])[0]
 
     def insert_batch(self, vectors: Sequence[Sequence[float]], metadata: Sequence[Mapping[str, Any]] | None = None) -> list[int]:
-        """Insert vectors with metadata of the same number; their new ids. Unknown metadata keys are refused."""
+        """Insert vectors with metadata of the same number; their new ids. Keys that aren't declared are kept as JSON."""
         metadata = [{} for _ in vectors] if metadata is None else metadata
         if len(metadata) != len(vectors):
             raise ValueError(f"{len(vectors)} vectors, but metadata for {len(metadata)}")
         names = list(self.config.metadata)
-        for v, m in zip(vectors, metadata, strict=True):
+        for v in vectors:
             if len(v) != self.config.dim:
                 raise ValueError(f"vectors aren't of dimension {self.config.dim}")
-            if unknown := m.keys() - set(names):
-                raise ValueError(f"unknown metadata {sorted(unknown)}")
         if not vectors:
             return []
-        schema = ", ".join(["_at bigint", "vector array<float>", *(f"`{c}` {t}" for c, t in self.config.metadata.items())])
+        schema = ", ".join(["_at bigint", "vector array<float>", *(f"`{c}` {t}" for c, t in self.config.metadata.items()), f"`{FREE}` string"])
         first = self.manifest["next_id"]
-        rows = [(i, [float(x) for x in v], *(m.get(c) for c in names)) for i, (v, m) in enumerate(zip(vectors, metadata, strict=True))]
+        free = [json.dumps(rest) if (rest := {c: x for c, x in (m or {}).items() if c not in names}) else None for m in metadata]
+        rows = [(i, [float(x) for x in v], *((m or {}).get(c) for c in names), f) for i, (v, m, f) in enumerate(zip(vectors, metadata, free, strict=True))]
         df = self.spark.createDataFrame(rows, schema).withColumn("id", F.col("_at") + first)
         self._insert(df.withColumn("_n", F.col("_at")), len(rows))
         return list(range(first, first + len(rows)))
@@ -159,10 +187,11 @@ class VectorStore:
     def insert_frame(self, df: DataFrame, vector_col: str = "vector", order_col: str | None = None) -> tuple[int, int]:
         """Insert all rows of a DataFrame; (first id, past the last). Ids are dense, by ``order_col`` or in no set order.
 
-        Metadata columns that ``df`` lacks are null. Null vectors and other dimensions raise.
+        Metadata columns that ``df`` lacks are null; a string column ``_free`` has undeclared metadata as JSON. Null vectors and
+        other dimensions raise.
         """
         rows = df.select(
-            F.col(vector_col).cast("array<float>").alias("vector"), *((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in self.config.metadata.items()),
+            F.col(vector_col).cast("array<float>").alias("vector"), *((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in {**self.config.metadata, FREE: "string"}.items()),
             (F.col(order_col) if order_col else F.xxhash64(vector_col)).alias("_o"),
         )
         n, bad = rows.agg(F.count("*"), F.count_if(F.coalesce(F.size("vector") != self.config.dim, F.lit(True)) | F.exists("vector", lambda x: x.isNull()))).first()
@@ -192,7 +221,7 @@ class VectorStore:
             vector = self.quantizer.encode(vector)
         rows = df.select(
             (F.col("_n") + self.manifest["next_seq"]).cast("bigint").alias("seq"), F.lit(time.time()).alias("ts"), F.lit("insert").alias("op"),
-            F.col("id").cast("bigint").alias("id"), vector.cast(self._stored).alias("vector"), *self.config.metadata,
+            F.col("id").cast("bigint").alias("id"), vector.cast(self._stored).alias("vector"), *self._kept,
         )
         self.manifest["next_id"] += n
         self._append(rows, n)
@@ -211,6 +240,16 @@ class VectorStore:
             self._append(rows.select("seq", F.lit(time.time()).alias("ts"), F.lit("delete").alias("op"), "id", *nothing), len(gone))
         return out
 
+    def delete_frame(self, ids: DataFrame, id_col: str = "id") -> int:
+        """Delete all ids of a DataFrame that are live; how many were."""
+        gone = self.live().select("id").join(ids.select(F.col(id_col).cast("bigint").alias("id")).distinct(), "id", "left_semi")
+        numbered = dense_ids(gone).select((F.col("new_id") + self.manifest["next_seq"]).alias("seq"), F.col("old_id").alias("id"))
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self._log_schema() if f.name not in ("seq", "ts", "op", "id")]
+        n = gone.count()
+        if n:
+            self._append(numbered.select("seq", F.lit(time.time()).alias("ts"), F.lit("delete").alias("op"), "id", *nothing), n)
+        return n
+
     # ---- reading
 
     def _log(self) -> DataFrame:
@@ -229,33 +268,102 @@ class VectorStore:
         return oplog.replay(self._log(), snapshot, self._fields)
 
     def live(self) -> DataFrame:
-        return self.rows().where(~F.col("deleted")).drop("deleted")
+        snapshot = self._snapshot()
+        if snapshot is not None and not self.manifest["log"]:
+            return snapshot.where(~F.col("deleted")).drop("deleted")
+        return oplog.live(self._log(), snapshot, self._fields)
 
     def vectors(self) -> DataFrame:
         """live() with decoded vectors."""
         q = self.quantizer
         return self.live().withColumn("vector", q.decode(F.col("vector"))) if self.config.quantize and q else self.live()
 
-    def search(self, query: Sequence[float], k: int = 10, where: Mapping[str, Any] | Column | None = None) -> DataFrame:
-        """(rank, id, distance, metadata) of the nearest live vectors; the query itself isn't quantised."""
+    def search(self, query: Sequence[float], k: int = 10, where: Mapping[str, Any] | Column | None = None, ef_search: int | None = None, nprobe: int | None = None) -> DataFrame:
+        """(rank, id, distance, metadata) of the nearest live vectors; the query itself isn't quantised.
+
+        Exact, unless ``ef_search`` or ``nprobe`` asks for the kept graphs or cells; without those, and with a filter, search
+        stays exact.
+        """
         if len(query) != self.config.dim:
             raise ValueError(f"the query isn't of dimension {self.config.dim}")
-        return exact.search(self.vectors(), query, k, self.config.metric, where, keep=list(self.config.metadata))
+        if where is None and self._index_for(ef_search, nprobe):
+            asked = self.spark.createDataFrame([(0, [float(x) for x in query])], "qid bigint, qvec array<double>")
+            hits = self.approximate(asked, k, ef_search, nprobe)
+            ids = [r["id"] for r in hits.collect()]  # k hits
+            rows = self.live().where(F.col("id").isin(ids)).select("id", *self._kept)
+            return hits.join(rows, "id").select("rank", "id", "distance", *self._kept)
+        return exact.search(self.vectors(), query, k, self.config.metric, self.where(where), keep=self._kept)
 
     def knn(self, queries: DataFrame, k: int = 10, where: Mapping[str, Any] | Column | None = None, plan: str = "auto") -> DataFrame:
         """(qid, rank, id, distance, metadata) for a DataFrame of queries (qid, qvec)."""
         q = self.quantizer
         decode = q.decode_matrix if self.config.quantize and q else None
         rows = self.vectors() if plan == "sql" else self.live()
-        return exact.knn(rows, queries, k, self.config.metric, where, keep=list(self.config.metadata), plan=plan, decode=None if plan == "sql" else decode)
+        return exact.knn(rows, queries, k, self.config.metric, self.where(where), keep=self._kept, plan=plan, decode=None if plan == "sql" else decode)
 
     def stats(self) -> dict[str, Any]:
         total, deleted = self.rows().agg(F.count("*"), F.count_if("deleted")).first()
-        out = {"total": total, "live": total - deleted, "tombstoned": deleted, "dim": self.config.dim, "metric": self.config.metric, "version": self.manifest["version"], "quantized": self.config.quantize}
+        c, index = self.config, self.manifest.get("index") or {}
+        out = {"total": total, "live": total - deleted, "tombstoned": deleted, "dim": c.dim, "metric": c.metric, "version": self.manifest["version"], "quantized": c.quantize}
+        out |= {"total_nodes": total, "live_nodes": total - deleted, "max_layer": index.get("layers", 0) - 1, "M": c.m, "ef_construction": c.ef_construction, "ef_search": c.ef_search, "index": index.get("kind")}
         if self.config.quantize and self.quantizer:
             out["quantizer"] = clip_stats(self.vectors(), self.quantizer).first().asDict()
         return out
 
+    # ---- a kept index
+
+    def build_graphs(self, parts: int | None = None) -> None:
+        """Build navigable graphs over the live vectors and keep them; they hold until the next build, compaction or refit.
+
+        ``parts`` is the number of partitions whose graphs are built side by side.
+        """
+        rows = self.vectors()
+        rows = rows.repartition(parts) if parts else rows
+        folder = f"indexes/{uuid.uuid4().hex}"
+        ann.build_graphs(rows, self.config.metric, self.config.graph).write.parquet(self.files.at(folder))
+        layers = self.spark.read.parquet(self.files.at(folder)).agg(F.max("layers")).first()[0]
+        self._keep_index({"kind": "graphs", "folder": folder, "layers": layers or 0})
+
+    def build_cells(self, cells: int) -> None:
+        """Fit centroids, write the live vectors by cell, and keep both; a search reads the cells it probes only."""
+        rows = self.vectors()
+        fitted = ann.fit_cells(rows, cells, self.config.metric)
+        folder = f"indexes/{uuid.uuid4().hex}"
+        by_cell = ann.assign(rows.select("id", "vector"), fitted).repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8)))
+        by_cell.write.partitionBy("cell").parquet(self.files.at(folder))
+        self._keep_index({"kind": "cells", "folder": folder, "centroids": fitted.centroids.tolist()})
+
+    def _keep_index(self, index: dict[str, Any]) -> None:
+        self.manifest["index"] = index | {"next_id": self.manifest["next_id"], "seq": self.manifest["next_seq"]}
+        self._publish()
+
+    def _index_for(self, ef_search: int | None, nprobe: int | None) -> bool:
+        kind = (self.manifest.get("index") or {}).get("kind")
+        return kind == "graphs" and ef_search is not None or kind == "cells" and nprobe is not None
+
+    def approximate(self, queries: DataFrame, k: int = 10, ef_search: int | None = None, nprobe: int | None = None) -> DataFrame:
+        """(qid, rank, id, distance) by the kept graphs or cells; vectors inserted since are searched exactly.
+
+        Deleted ids are left out; so many more hits are asked of the index as ids were deleted since it was built.
+        """
+        index = self.manifest.get("index")
+        if not index:
+            raise ValueError("no index is kept; build_graphs() or build_cells()")
+        later = self.manifest["log"] or self.manifest["next_seq"] > index["seq"]
+        deleted = self.rows().where(F.col("deleted") & (F.col("id") < index["next_id"])).select("id") if later else None
+        more = deleted.count() if later else 0
+        rows = self.spark.read.parquet(self.files.at(index["folder"]))
+        if index["kind"] == "graphs":
+            hits = ann.search_built(rows, queries, k + more, self.config.metric, self.config.graph, None if ef_search is None else ef_search + more)
+        else:
+            cells = ann.Cells(Metric(self.config.metric), np.asarray(index["centroids"]))
+            hits = ann.search_cells(rows, cells, queries, k + more, nprobe or max(1, len(cells.centroids) // 8))
+        if later:
+            hits = hits.join(deleted, "id", "left_anti")
+            new = exact.knn(self.vectors().where(F.col("id") >= index["next_id"]), queries, k, self.config.metric)
+            hits = hits.select("qid", "id", "distance").unionByName(new.select("qid", "id", "distance"))
+        return exact.top_k(hits.select("qid", "id", "distance"), k).select("qid", "rank", "id", "distance")
+
     # ---- snapshots
 
     def _write_snapshot(self, rows: DataFrame) -> None:
@@ -281,19 +389,21 @@ class VectorStore:
             rows = decoded.withColumn("vector", fitted.encode(F.col("vector")))
             self.manifest["quantizer"] = asdict(fitted)
         if renumber:
-            mapping = dense_ids(rows)
+            kept = f"mappings/{self.manifest['next_seq']:018d}-{uuid.uuid4().hex[:8]}"
+            dense_ids(rows).write.parquet(self.files.at(kept))
+            mapping = self.spark.read.parquet(self.files.at(kept))  # stays readable when the files it came from are gone
             rows = rows.join(mapping, F.col("id") == F.col("old_id")).drop("id", "old_id").withColumnRenamed("new_id", "id")
         rows = rows.select("id", *self._fields).withColumn("deleted", F.lit(False))
+        if renumber:  # the counter is published with the snapshot, in one manifest
+            self.manifest["next_id"] = mapping.count()
+        self.manifest["index"] = None
         self._write_snapshot(rows)
-        if renumber:
-            self.manifest["next_id"] = self._snapshot().count()
-            self._publish()
         return mapping
 
     def vacuum(self) -> None:
         """Delete files that the manifest doesn't name. Readers of older manifests lose them."""
-        used = {*self.manifest["log"], self.manifest["snapshot"]}
-        for top in ("log", "snapshots"):
+        used = {*self.manifest["log"], self.manifest["snapshot"], (self.manifest.get("index") or {}).get("folder")}
+        for top in ("log", "snapshots", "indexes"):
             for name in self.files.list(top):
                 if f"{top}/{name}" not in used:
                     self.files.delete(f"{top}/{name}")

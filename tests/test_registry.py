@@ -1,12 +1,14 @@
 """Registered queries against their SQL, and the registry without the subpackage of training-data operators."""
 
+import csv
 import subprocess
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 
-from nearfield import queries
+from nearfield import evaluate, queries
 from tests.conftest import ROOT, SF01
 
 NAMES = sorted(queries.ORACLE_SQL)
@@ -39,10 +41,25 @@ def test_query_equals_sql(spark, duck, name):
     assert compared(df.collect(), df.columns) == compared([dict(zip(names, r, strict=True)) for r in found.fetchall()], df.columns)
 
 
-@pytest.mark.parametrize("name", ["ann_cells_recall", "ann_graph_recall"])
-def test_recall_is_a_share(spark, name):
-    rows = queries.QUERIES[name](spark, str(SF01)).collect()
-    assert len(rows) == 10 and all(0 <= r["recall"] <= 1 for r in rows)
+def test_generated_clusters(spark):
+    rows = queries.QUERIES["clustered_exact"](spark, str(SF01)).collect()
+    assert len(rows) == 200
+    n, dim = 500, 64
+    v, q = evaluate.clustered(n, dim).astype(float), evaluate.normal_queries(20, dim).astype(float)
+    far = 1 - (v @ q.T) / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1))
+    for r in rows:
+        assert int(np.argsort(far[:, r["qid"]], kind="stable")[r["rank"] - 1]) == r["id"]
+
+
+def test_sweep_and_its_file(spark, tmp_path):
+    vectors, asked = evaluate.frame(spark, evaluate.clustered(300, 8)), evaluate.frame(spark, evaluate.clustered(300, 8)[:10], "qid", "qvec")
+    rows = evaluate.sweep(vectors, asked, 5, cells=6, probes=(1, 6), m=(8,), ef=(10, 300))
+    assert [r["method"] for r in rows] == ["exact", "cells", "cells", "graph", "graph"]
+    assert rows[0]["recall"] == rows[2]["recall"] == rows[4]["recall"] == 1.0 and all(0 < r["recall"] <= 1 and r["qps"] > 0 for r in rows)
+    evaluate.write_csv(rows, tmp_path / "sweep.csv")
+    with open(tmp_path / "sweep.csv", newline="") as f:
+        told = list(csv.DictReader(f))
+    assert [r["method"] for r in told] == [r["method"] for r in rows] and float(told[1]["recall"]) == rows[1]["recall"]
 
 
 def test_entry_runs(spark):

@@ -1,12 +1,13 @@
 """Logs, snapshots, the store and the service."""
 
 import json
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield import streaming
+from nearfield import http, streaming
 from nearfield.operators import shards
 from nearfield.service import Client, Service, ServiceError, config_from_env
 from nearfield.sources import oplog
@@ -66,14 +67,60 @@ def test_write_read_delete_reopen(spark, store):
 
 
 def test_refusals(store):
-    for vectors, metadata in (([[1, 2]], None), ([[1, 2, 3]], [{}, {}]), ([[1, 2, 3]], [{"colour": 1}])):
+    for vectors, metadata in (([[1, 2]], None), ([[1, 2, 3]], [{}, {}])):
         with pytest.raises(ValueError):
             store.insert_batch(vectors, metadata)
     assert store.insert_batch([]) == []
     with pytest.raises(ValueError):
         store.search([1, 2])
+    for wrong in ({"dim": 0}, {"dim": 2, "m": 1}, {"dim": 2, "metadata": {"_free": "string"}}):
+        with pytest.raises(ValueError):
+            Config(**wrong)
+
+
+def test_undeclared_metadata_is_kept_and_filtered(spark, store):
+    store.insert_batch([[1, 0, 0], [2, 0, 0], [3, 0, 0], [4, 0, 0]], [{"category": "finance", "score": 7, "kind": "a"}, {"category": "tech"}, {"category": "finance", "score": 3}, None])
+    found = lambda spec: [r["id"] for r in store.search([0, 0, 0], 9, spec).orderBy("rank").collect()]
+    for _ in range(2):
+        assert found({"category": "finance"}) == [0, 2] and found({"category": "finance", "score": {"$gte": 5}}) == [0]
+        assert found({"category": {"$ne": "finance"}}) == [1, 3] and found({"kind": "a", "score": 7}) == [0] and found({"score": "7"}) == []
+        store.snapshot()
+    assert json.loads(store.search([1, 0, 0], 1).first()["_free"]) == {"category": "finance", "score": 7}
+
+
+def test_reads_leave_the_snapshot_in_place(spark, store):
+    """With a log present, the snapshot isn't shuffled, and filters reach its files."""
+    store.insert_batch([[i, 0, 0] for i in range(9)], [{"kind": "x" if i % 2 else "y"} for i in range(9)])
+    store.snapshot()
+    store.delete(1, 3)
+    store.insert([9, 9, 9], {"kind": "x"})
+    df = store.live().where("kind = 'x'")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(kind,x)" in plan and "SortMergeJoin" not in plan
+    assert sorted(r["id"] for r in df.collect()) == [5, 7, 9]
+
+
+def test_kept_indexes(spark, tmp_path):
+    v = np.random.default_rng(5).random((300, 8))
+    s = VectorStore(spark, str(tmp_path / "i"), Config(8, "euclidean", m=8, ef_construction=60))
+    s.insert_frame(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i long, vector array<float>"), order_col="i")
+    queries = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 300, 10)], "qid long, qvec array<double>")
     with pytest.raises(ValueError):
-        Config(0)
+        s.approximate(queries)
+    s.build_graphs(2)
+    s.delete(10, 20)
+    extra = s.insert(v[30].tolist())
+    again = VectorStore(spark, s.files.root)
+    assert again.stats()["max_layer"] >= 0 and again.stats()["index"] == "graphs"
+    truth = {(r["qid"], r["id"]) for r in again.knn(queries, 5).collect()}
+    recall = lambda ef: len(truth & {(r["qid"], r["id"]) for r in again.approximate(queries, 5, ef_search=ef).collect()}) / len(truth)
+    assert recall(300) == 1.0 and recall(60) >= 0.9 and recall(60) >= recall(5)
+    assert [r["id"] for r in again.search(v[30].tolist(), 2, ef_search=50).orderBy("rank").collect()] == [30, extra]
+    again.build_cells(6)
+    found = lambda n: {(r["qid"], r["id"]) for r in again.approximate(queries, 5, nprobe=n).collect()}
+    assert found(6) == truth and len(found(1) & truth) < len(truth)
+    again.compact()
+    assert again.stats()["index"] is None
 
 
 def test_compaction_keeps_or_renumbers_ids(spark, store):
@@ -164,6 +211,22 @@ def test_service(spark, tmp_path):
     assert e.value.status == 409
     assert quantised.service.fit_quantizer({"vectors": [[0, 0], [1, 1]]}) == {"fitted_on": 2} and quantised.insert([1, 0.5]) == 0
     assert config_from_env({"VDB_DIM": "8", "VDB_METRIC": "dot", "VDB_QUANTIZE": "1"}) == ("data", Config(8, "dot", True))
+    assert config_from_env({"VDB_M": "8", "VDB_EF_CONSTRUCTION": "90", "VDB_EF_SEARCH": "70"})[1] == Config(128, m=8, ef_construction=90, ef_search=70)
+
+
+def test_requests_over_http(spark, tmp_path):
+    server = http.serve(Service(VectorStore(spark, str(tmp_path / "h"), Config(2, "euclidean"))))
+    try:
+        client = http.RemoteClient(f"http://127.0.0.1:{server.server_address[1]}")
+        assert client.insert([1, 0], {"category": "x", "n": [1, 2]}) == 0 and client.insert_batch([[0, 1], [1, 1]], [{}, {"category": "y"}]) == [1, 2]
+        assert client.search([1, 0], 2, filter={"category": {"$in": ["x", "y"]}})[0] == {"id": 0, "distance": 0.0, "metadata": {"category": "x", "n": [1, 2]}}
+        assert client.delete(0) and not client.delete(0) and client.health()["stats"]["live_nodes"] == 2 and client.compact()["tombstoned"] == 0
+        for status, call in ((422, lambda: client.search([1, 0], 0)), (400, lambda: client.insert([1])), (404, lambda: client.service._ask("POST", "/nothing", {})), (422, lambda: client.service._ask("POST", "/insert_batch", {"vectors": [], "metadata": []})), (422, lambda: client.service._ask("POST", "/insert", [1]))):
+            with pytest.raises(ServiceError) as e:
+                call()
+            assert e.value.status == status
+    finally:
+        server.shutdown()
 
 
 def test_log_as_a_stream(spark, tmp_path):
@@ -194,3 +257,31 @@ def test_sharded_delete_and_compact(spark, tmp_path):
     assert shards.delete(stores, "0:0") and len(shards.compact(stores)) == 2
     renumbered = shards.compact(stores, renumber=True)
     assert [sorted(map(tuple, m.collect())) for m in renumbered] == [[(1, 0), (2, 1)], [(0, 0), (1, 1)]]
+
+
+def test_shards_that_fail_late(spark):
+    hits = spark.createDataFrame([(0, i, float(i)) for i in range(4)], "qid int, id long, distance double")
+
+    def late():
+        return hits.withColumn("distance", F.raise_error(F.lit("gone")).cast("double"))
+
+    def slow():
+        time.sleep(5)
+        return hits
+
+    found, errors = shards.fan_out([lambda: hits, late, lambda: hits], 3)
+    assert list(errors) == [1] and [r["id"] for r in found.orderBy("rank").collect()] == ["0:0", "2:0", "0:1"]
+    with pytest.raises(shards.AllShardsFailed):
+        shards.fan_out([lambda: hits, late], 3, require_all=True)
+    with pytest.raises(shards.AllShardsFailed):
+        shards.fan_out([late, late], 3)
+    _, errors = shards.fan_out([lambda: hits, slow], 3, timeout=3)
+    assert list(errors) == [1] and "Timeout" in errors[1]
+
+
+def test_health_degrades(spark):
+    rows = spark.createDataFrame([(0, False), (0, True), (2, False)], "shard int, deleted boolean")
+    assert [tuple(r) for r in shards.health(rows, 3).orderBy("shard").collect()] == [(0, 2, 1, True), (1, 0, 0, True), (2, 1, 1, True)]
+    bad = shards.health(rows, 3, errors={2: "gone"})
+    assert [tuple(r) for r in bad.orderBy("shard").collect()] == [(0, 2, 1, True), (1, 0, 0, True), (2, 0, 0, False)]
+    assert tuple(shards.health_summary(bad).first()) == (1, 3, "degraded")
