@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +13,39 @@ from nearfield.llm._common import written
 
 #: Parts that the nodes of one label are dealt to.
 SALTS = 16
+#: Links up to which one task joins them all; more take rounds over all tasks, with the same result.
+SMALL = 1 << 14
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few links (u, v) to (node, component)."""
+    every = [np.stack([b.column("u").to_numpy(), b.column("v").to_numpy()]) for b in batches if b.num_rows]
+    if not every:
+        return
+    nodes, at = np.unique(np.concatenate(every, axis=1), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, u, label[v])
+        np.minimum.at(new, v, label[u])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node that links reach.
 
-    Each round takes the smallest label among neighbours and then halves the path to it, until no label changes. Only sums and minima by node are shuffled, so a node with
-    many links needs no room in one task. Labels are written each round.
+    Each round takes the smallest label among neighbours and then halves the path to it, until no label changes. Only sums and
+    minima by node are shuffled, so a node with many links needs no room in one task. Labels are written each round. Up to
+    SMALL links are joined by one task, which spares the rounds.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    pairs = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"))
+    if pairs.count() <= SMALL:
+        return pairs.coalesce(1).mapInArrow(_joined, "node bigint, component bigint")
     both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
     both = written(pairs.select(both.alias("e")).select("e.u", "e.v").distinct())
     labels = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("m", "node").alias("c")))
@@ -39,10 +67,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, c): the components ``labels`` (node, c) joined further by ``edges`` (a, b) between any nodes.
 
+    A node that is alone in ``labels`` may be left out.
     Only the graph of the labels that ``edges`` join goes through components().
     """
+    edges = written(edges.select("a", "b"))
+    if edges.count() + labels.count() <= SMALL:
+        every = components(labels.select(F.col("node").alias("a"), F.col("c").alias("b")).unionByName(edges))
+        return every.withColumnRenamed("component", "c")
     of = lambda side: F.coalesce(f"c_{side}", side)
-    named = edges.select("a", "b")
+    named = edges
     for side in ("a", "b"):
         named = named.join(labels.select(F.col("node").alias(side), F.col("c").alias(f"c_{side}")), side, "left")
     named = written(named.select("a", "b", of("a").alias("ca"), of("b").alias("cb")))

@@ -283,14 +283,13 @@ def _confirmed(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, tied: Dat
         told = of(labels).groupBy("c", "label").agg(F.min("node").alias("node"), F.min_by("n", "node").alias("n"))
         several = told.groupBy("c").agg(_blocks().alias("nb"), F.count("*").alias("k")).where("k > 1")
         told = written(told.join(several, "c").withColumn("blk", _own_block("nb", 23 + turn)))
+        if not told.count():  # every cluster is one component
+            return labels
         found = written(_links(within(told), sets, percent))
-        if found.isEmpty():
+        if not found.count():
             break
         labels = merged(labels, found)
-        if told.where("nb > 1").isEmpty():
-            break
-    apart = written(_apart(of(labels)))
-    return labels if apart.isEmpty() else merged(labels, _links(apart, sets, percent).distinct())
+    return merged(labels, _links(written(_apart(of(labels))), sets, percent))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -314,7 +313,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     clusters = components(near).withColumnRenamed("component", "c")
     large = met.where("nb > 1")
     if not large.isEmpty():
-        clusters = merged(clusters, regrouped(_met_again(large, clusters)).mapInArrow(_near(percent), link).distinct())
+        clusters = merged(clusters, regrouped(_met_again(large, clusters)).mapInArrow(_near(percent), link))
     tied = full.groupBy("id").agg(F.min("fp").alias("s"), F.max("fp").alias("t")).where("s <> t").select("id")
     tied = full.select("id", "fp").join(tied, "id").join(nodes.select("fp", "node"), "fp").select(F.col("id").alias("a"), F.col("node").alias("b"))
     final = _confirmed(checkpointed(clusters), nodes, docs, tied, size, percent)

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from nearfield.llm import _blocks, decontam, embeddings, minhash
+from nearfield.llm import _blocks, _graph, decontam, embeddings, minhash
 from nearfield.llm._common import plain_words, text_chunks, word_hashes, words_of
 from nearfield.llm._graph import components, merged
 from tests.conftest import SF001, SF01
@@ -57,7 +57,9 @@ def brute_near(rows, size, percent=80):
     return {i: (len(s), u.root(i)) for i, s in sets.items()}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [1 << 14, 3])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(_graph, "SMALL", small)
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 240)]
     u = Union(range(300))

@@ -1,7 +1,10 @@
 """Language identification, quality rules, toxic segments and main text."""
 
+import math
+import re
 import time
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -11,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nearfield.llm import html_text, langid, quality, toxicity
-from tests.conftest import SF01
+from tests.conftest import SF001, SF01
 
 DOCS = "doc_id long, text string, lang string, source string, score string"
 EDGE = [(1, None, "en", "a", "x"), (2, "", None, None, None), (3, "12 !? 34", "en", "a", "x"), (None, "the house and the garden", "en", "a", "x"), (4, "la casa y el jardín " * 40000, "es", "b", "y"), (4, "la casa y el jardín", "es", "b", "y"), (5, "der Garten und das Haus", "de", None, "z")]
@@ -37,6 +40,42 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_grams(text):
+    """Buckets of all 1- to 3-grams of letters, one by one, with every other character as a space."""
+    ones = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+    codes = [ord(c.lower()[0]) if c.isalpha() else 32 for c in f" {text}  "]
+    out = []
+    for i in range(len(codes) - 2):
+        a, b, c = codes[i : i + 3]
+        parts = [(a * ones[0], a != 32), (a * ones[0] + (b + 7) * ones[1], (a, b) != (32, 32)), (a * ones[0] + (b + 7) * ones[1] + (c + 13) * ones[2], (a, b) != (32, 32))]
+        for h, counts in parts:
+            if counts:
+                h %= 1 << 64
+                out.append(((h ^ (h >> 29)) * ones[1] % (1 << 64)) >> 49)
+    return out
+
+
+def test_language_query_equals_a_plain_model(spark):
+    docs = spark.read.parquet(str(SF001 / "documents.parquet")).select("doc_id", "text", "lang").collect()
+    grams = {r["doc_id"]: plain_grams(r["text"]) if r["text"] else [] for r in docs}
+    total, seen = {}, {}
+    for r in docs:
+        if r["text"] is not None and r["lang"] is not None and crc(r["doc_id"]) % 3 != 1:
+            total.setdefault(r["lang"], Counter()).update(grams[r["doc_id"]])
+            seen[r["lang"]] = seen.get(r["lang"], 0) + any(c.isalpha() for c in r["text"])
+    size = {x: sum(c.values()) + 0.1 * (1 << 15) for x, c in total.items()}
+    got = {r["doc_id"]: r for r in langid.op3_language_id(spark, str(SF001)).collect()}
+    for r in docs:
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        own = Counter(grams[r["doc_id"]])
+        logs = {x: math.log(seen[x] / sum(seen.values())) + sum(n * math.log((c[g] + 0.1) / size[x]) for g, n in own.items()) for x, c in total.items()}
+        best = max(sorted(logs), key=logs.get)
+        post = 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+        assert got[r["doc_id"]]["lang_pred"] == best and abs(got[r["doc_id"]]["score"] - post) < 1e-6
+
+
 def test_language_edges(spark, edge):
     model = langid.fit(edge)
     out = langid.identify(edge, model, ["doc_id", "source", "score"])
@@ -77,6 +116,39 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.95 * len(rows)
 
 
+def plain_statistics(text):
+    data = (text or "").encode("utf-8", "surrogatepass")
+    words = data.split()
+    if not words:
+        return [0.0] * 18
+    n, count = len(words), lambda chars: sum(data.count(bytes([c])) for c in chars)
+    upper, lower = count(range(65, 91)), count(range(97, 123))
+    lines = data.split(b"\n")
+    return [
+        math.log(1 + len(data)), n, sum(len(w) for w in words) / n, upper / max(1, upper + lower), count(range(48, 58)) / len(data), count(b"#$%&*") / n, count(b"|") / n, count(b"!") / n, count(b".") / n,
+        count(b",") / n, len(lines) / n, count(b"()<>[]{}") / n, len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, max(words.count(w) for w in set(words)) / n if n < 400 else None,
+        len(set(lines)) / len(lines), sum(c >= 128 for c in data) / len(data), sum(len(w) < 4 for w in words) / n,
+    ]
+
+
+def test_quality_query_equals_plain_rules(spark):
+    docs = spark.read.parquet(str(SF001 / "documents.parquet")).select("doc_id", "text")
+    labels = spark.read.parquet(str(SF001 / "labels.parquet")).select("doc_id", "quality")
+    texts, told = {r["doc_id"]: r["text"] for r in docs.collect()}, [(r["doc_id"], r["quality"]) for r in labels.collect()]
+    own = {i: [b if a is None else a for a, b in zip(plain_statistics(t), quality.statistics(t), strict=True)] for i, t in texts.items()}
+    assert all(np.allclose(own[i], quality.statistics(t)) for i, t in texts.items())
+    learned = [(i, y) for i, y in told if y is not None and i in texts and crc(i) % 3 != 1]
+    model = quality.fit_rules(np.array([quality.statistics(texts[i]) for i, _ in learned]), np.array([y for _, y in learned]))
+    got = {r["doc_id"]: r for r in quality.op6_quality(spark, str(SF001)).collect()}
+    assert got.keys() == texts.keys()
+    for i, x in own.items():
+        z = model.intercept
+        for rule, weight in zip(model.rules, model.weights, strict=True):
+            if all(quality.statistics(texts[i])[j] > at if above else quality.statistics(texts[i])[j] <= at for j, above, at in rule):
+                z += weight
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-z))) < 1e-6 and got[i]["predicted"] == (z >= 0) and got[i]["held_out"] == (crc(i) % 3 == 1)
+
+
 def test_rules_as_columns_equal_rules_in_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.random((400, len(quality.STATISTICS)))
@@ -193,6 +265,28 @@ def test_toxicity_query(spark):
         assert hits >= recall * sum(r["toxic"] for r in some) and hits >= 0.9 * sum(r["predicted"] for r in some) and hits >= 4
 
 
+def test_toxicity_scores_equal_a_plain_version(spark):
+    """Scores of the query's operator against segments by definition, for texts that are short enough for it."""
+    docs = spark.read.parquet(str(SF01 / "documents.parquet")).select("doc_id", "text")
+    labels = spark.read.parquet(str(SF01 / "labels.parquet")).select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where("toxic is not null"))
+    checked = hits = 0
+    for r in toxicity.detect(docs, model, ["doc_id", "text"]).collect():
+        words = re.findall(r"[a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        if len(words) > 120:
+            continue
+        values = []
+        for w in (w.encode() for w in words):
+            values.append(model.lexicon[w] if w in model.lexicon else model.stems.get(w[:5], -model.drift))
+        told = [model.lam * s - math.log(model.k * max(1, len(words))) for _, _, s in all_maximal(values)]
+        sure = [e for e in told if e > -math.log(0.05)]
+        x = [1, min(20, max(-5, max(told, default=-math.log(model.k * max(1, len(words)))))), math.log1p(sum(sure)), math.log1p(len(sure)), math.log1p(len(words))]
+        assert abs(r["score"] - 1 / (1 + math.exp(-np.dot(model.calibration, x)))) < 1e-6 and len(r["passages"]) == len(sure)
+        checked += 1
+        hits += bool(sure)
+    assert checked > 100 and hits > 3
+
+
 def test_only_significant_passages_count():
     model = toxicity.ToxicityModel({b"bad": 3.0, b"odd": 0.5}, drift=1.0, lam=1.0, k=0.1)
     found = model.scored([b"odd", *[b"x"] * 50, b"bad", b"bad", b"bad", *[b"x"] * 50, b"odd"])
