@@ -18,6 +18,8 @@ from nearfield.session import ship_package
 BATCH_ROWS = 1000
 #: Bytes of text that numpy works on at once; longer documents go through in pieces.
 CHUNK_BYTES = 1 << 21
+#: Bytes of texts that are searched with one part of a model after the other, where it has several.
+HELD_BYTES = 64 << 20
 WORD_BREAKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -73,11 +75,12 @@ def held_out(id_col: str, modulus: int, value: int) -> Column:
 
 
 def append_columns(
-    df: DataFrame, keep: list[str], fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField], needs: list[str] = ()
+    df: DataFrame, keep: list[str], fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField], needs: list[str] = (), gather: int = 0
 ) -> DataFrame:
     """``keep`` columns of ``df`` and new ``fields``, computed by ``fn`` from each Arrow batch of ``keep`` and ``needs``.
 
-    Columns of ``keep`` that bear the name of a new field give way to it.
+    Columns of ``keep`` that bear the name of a new field give way to it. ``gather`` puts batches together until they have
+    that many bytes, for an ``fn`` that costs much by the call.
     """
     small_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
@@ -87,13 +90,34 @@ def append_columns(
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, gather) if gather else batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *fn(batch)], names=names)
 
     return source.mapInArrow(run, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= size and held:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def each_shared(shared: list) -> Iterator:
+    """The values of broadcasts; where there are several, a task lets go of one before it loads the next."""
+    for s in shared:
+        yield s.value
+        if len(shared) > 1:
+            s.__dict__.pop("_value", None)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

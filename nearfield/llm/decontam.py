@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.llm._common import checkpointed, plain_words, read, small_batches
+from nearfield.llm._common import HELD_BYTES, checkpointed, each_shared, gathered, plain_words, read, small_batches
 
 #: Words in a passage, and from one to the next: a run of STRIDE words lies within some passage.
 PASSAGE, STRIDE = 128, 64
@@ -34,8 +34,6 @@ SHINGLE = 5
 #: Bytes of the items of one broadcast index, about. More items are dealt to several, which a task holds one after the other;
 #: statistics are those of all items, so that the number of indexes changes no result.
 PART_BYTES = 8 << 20
-#: Bytes of texts that meet each index at a time, where there are several.
-HELD_BYTES = 64 << 20
 K1, B = 1.2, 0.75
 
 
@@ -224,27 +222,6 @@ def indexes(items: DataFrame, item_id: str = "item_id", item_text: str = "text")
         yield BlockMaxIndex([x for i, t in rows if (x := parsed(i, t)).words], of_all=of_all)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Batches put together until they have ``size`` bytes."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.nbytes for b in held) >= size and held:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
-def _each_index(shared: list) -> Iterator[BlockMaxIndex]:
-    """The broadcast indexes; where there are several, a task lets go of one before it loads the next."""
-    for s in shared:
-        yield s.value
-        if len(shared) > 1:
-            s.__dict__.pop("_value", None)
-
-
 def find_leaks(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, bm25, overlap, answer_overlap) of every text and every item that it holds, in one pass over the texts.
 
@@ -257,9 +234,9 @@ def find_leaks(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     shared = [spark.sparkContext.broadcast(index) for index in indexes(items, item_id, item_text)]  # about PART_BYTES of items each
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _gathered(batches, HELD_BYTES if len(shared) > 1 else 0):
+        for batch in gathered(batches, HELD_BYTES if len(shared) > 1 else 0):
             texts = batch.column(1).to_pylist()
-            for index in _each_index(shared):
+            for index in each_shared(shared):
                 at: list[int] = []
                 found: list[tuple[int, float, float, float]] = []
                 for k, t in enumerate(texts):
@@ -280,10 +257,10 @@ def without_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_id:
     place = df.columns.index(df.select(text).columns[0])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _gathered(batches, HELD_BYTES if len(shared) > 1 else 0):
+        for batch in gathered(batches, HELD_BYTES if len(shared) > 1 else 0):
             texts = batch.column(place).cast(pa.string()).to_pylist()
             stays = [True] * len(texts)
-            for index in _each_index(shared):
+            for index in each_shared(shared):
                 stays = [s and not (t and index.search(t)) for s, t in zip(stays, texts, strict=True)]
             yield batch.filter(pa.array(stays))
 

@@ -2,12 +2,13 @@
 
 Counts of n-grams by language come from all labelled training rows (summed in Spark); the log-probability matrix,
 ``languages x 2^15`` doubles, is broadcast, and each batch is scored in numpy as a sparse product: every n-gram gathers
-its matrix entries and ``reduceat`` sums them by document.
+its matrix entries and ``reduceat`` sums them by document. More than PART_LANGUAGES languages are dealt to several matrices by a
+hash of their names; every text meets all of them, and the posterior is over all languages.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -17,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.llm._common import append_columns, held_out, remainder, small_batches
+from nearfield.llm._common import HELD_BYTES, append_columns, each_shared, held_out, remainder, small_batches
 
 BITS = 15
 BUCKETS = 1 << BITS
 #: Characters that numpy works on at once.
 SLICE = 1 << 18
-#: More distinct training labels than this are refused: they bound the matrix (262 kB each).
-MAX_LANGUAGES = 400
+#: Languages of one matrix, about (262 kB each); a task holds one matrix at a time.
+PART_LANGUAGES = 400
 UNKNOWN = "und"
 _SPACE = 32
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -97,12 +98,9 @@ class LanguageModel:
     log_probs: np.ndarray | None = None
     log_priors: np.ndarray | None = None
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The most probable language of each text and its posterior probability; (und, 0) without a letter."""
+    def weigh(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: the most probable language's place, its log weight, the weights of all relative to it, and letters."""
         n, k = len(texts), len(self.languages)
-        pred, prob = [UNKNOWN] * n, np.zeros(n)
-        if not k:
-            return pred, prob
         sums, letters = np.zeros((n, k)), np.zeros(n, np.int64)
         for rows, starts, codes in _slices(texts):
             grams = _grams(starts, codes)
@@ -113,15 +111,44 @@ class LanguageModel:
         sums += self.log_priors
         best = sums.argmax(1)
         top = sums[np.arange(n), best]
-        post = 1.0 / np.exp(sums - top[:, None]).sum(1)
+        return best, top, np.exp(sums - top[:, None]).sum(1), letters
+
+    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The most probable language of each text and its posterior probability; (und, 0) without a letter."""
+        return score_parts([self], texts)
+
+
+def score_parts(parts: Iterable[LanguageModel], texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """LanguageModel.score() over the languages of all parts; equal weights go to the language that sorts first."""
+    n = len(texts)
+    pred, top, rest = [UNKNOWN] * n, np.full(n, -np.inf), np.zeros(n)
+    for part in parts:
+        if not part.languages:
+            continue
+        best, own, relative, letters = part.weigh(texts)
         for i in np.flatnonzero(letters):
-            pred[i] = self.languages[best[i]]
-            prob[i] = post[i]
-        return pred, prob
+            name = part.languages[best[i]]
+            if own[i] > top[i] or (own[i] == top[i] and name < pred[i]):
+                rest[i] = relative[i] + rest[i] * np.exp(top[i] - own[i])
+                pred[i], top[i] = name, own[i]
+            else:
+                rest[i] += relative[i] * np.exp(own[i] - top[i])
+    return pred, np.divide(1.0, rest, out=np.zeros(n), where=rest > 0)
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.1) -> LanguageModel:
-    """Learn from every row with text and language. Rows without a letter add nothing; no rows give a model that says und."""
+    """fit_parts() for languages that fit one matrix; a model that says und if there are none."""
+    parts = list(fit_parts(df, text, lang, smoothing))
+    if len(parts) > 1:
+        raise ValueError(f"more than {PART_LANGUAGES} languages; ask fit_parts() for several models")
+    return parts[0] if parts else LanguageModel()
+
+
+def fit_parts(df: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.1) -> Iterator[LanguageModel]:
+    """Learn from every row with text and language; one model for about PART_LANGUAGES languages, one after the other.
+
+    Rows without a letter add nothing, and no rows give no model.
+    """
     small_batches(df.sparkSession)
     rows = df.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
 
@@ -146,37 +173,45 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", smoothing: float
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["l", "b", "n"])
 
     counts = rows.mapInArrow(count, "l string, b int, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n")).persist()
-    docs = counts.where(F.col("b") == BUCKETS + 1)
-    languages = sorted(r[0] for r in docs.select("l").limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    table = counts.toArrow()  # at most languages x BUCKETS rows
+    number, documents = counts.where(F.col("b") == BUCKETS + 1).agg(F.count("*"), F.sum("n")).first()
+    parts = 1 if number <= PART_LANGUAGES else -(-2 * number // PART_LANGUAGES)  # half of the bound each: a hash deals unevenly
+    for p in range(parts if number else 0):
+        own = counts if parts == 1 else counts.where(F.pmod(F.xxhash64("l"), F.lit(parts)) == p)
+        table = own.toArrow()  # at most languages of the part x BUCKETS rows
+        if table.num_rows:
+            yield _model(table, documents, smoothing)
     counts.unpersist()
-    if not languages:
-        return LanguageModel()
-    matrix = np.zeros((len(languages), BUCKETS + 2))
-    where = {label: i for i, label in enumerate(languages)}
-    labels = table.column("l").combine_chunks().dictionary_encode()
-    names = labels.dictionary.to_pylist()
-    known = np.array([where.get(x, -1) for x in names])[labels.indices.to_numpy()]
-    b, n = table.column("b").to_numpy(), table.column("n").to_numpy()
+
+
+def _model(table: pa.Table, documents: int, smoothing: float) -> LanguageModel:
+    """The model of the languages in a table of (language, bucket, count), of which BUCKETS + 1 counts documents."""
+    names, b, n = table.column("l").to_pylist(), table.column("b").to_numpy(), table.column("n").to_numpy()
+    learned = sorted({x for x, bucket in zip(names, b.tolist(), strict=True) if bucket == BUCKETS + 1})
+    where = {label: i for i, label in enumerate(learned)}
+    matrix = np.zeros((len(learned), BUCKETS + 2))
+    known = np.array([where.get(x, -1) for x in names])
     matrix[known[known >= 0], b[known >= 0]] = n[known >= 0]
-    priors = np.log(matrix[:, BUCKETS + 1] / matrix[:, BUCKETS + 1].sum())
     grams = matrix[:, :BUCKETS] + smoothing
-    log_probs = np.zeros((len(languages), BUCKETS + 1))
+    log_probs = np.zeros((len(learned), BUCKETS + 1))
     log_probs[:, :BUCKETS] = np.log(grams / grams.sum(1, keepdims=True))
-    return LanguageModel(languages, log_probs, priors)
+    return LanguageModel(learned, log_probs, np.log(matrix[:, BUCKETS + 1] / documents))
 
 
-def identify(df: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns with lang_pred and score (the posterior probability, 0 for und) of each whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def identify(df: DataFrame, model: LanguageModel | Iterable[LanguageModel], keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns with lang_pred and score (the posterior probability, 0 for und) of each whole text.
+
+    ``model`` is one model, or what fit_parts() gives; parts are broadcast as they come, so the driver holds one at a time.
+    """
+    context = df.sparkSession.sparkContext
+    shared = [context.broadcast(part) for part in ([model] if isinstance(model, LanguageModel) else model)]
 
     def score(batch: pa.RecordBatch) -> list[pa.Array]:
-        pred, prob = shared.value.score(batch.column(text).cast(pa.string()).to_pylist())
+        pred, prob = score_parts(each_shared(shared), batch.column(text).cast(pa.string()).to_pylist())
         return [pa.array(pred, pa.string()), pa.array(prob, pa.float64())]
 
-    return append_columns(df, keep, score, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], [text])
+    gather = HELD_BYTES if len(shared) > 1 else 0
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return append_columns(df, keep, score, fields, [text], gather)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
@@ -188,6 +223,6 @@ def op3_language_id(spark, sf_dir: str) -> DataFrame:
     from nearfield.llm._common import read
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = fit(docs.where(remainder("doc_id", 3) != 1))
+    model = fit_parts(docs.where(remainder("doc_id", 3) != 1))
     out = identify(docs.withColumn("held_out", held_out("doc_id", 3, 1)), model, ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "lang_pred", "score")

@@ -87,6 +87,20 @@ def test_language_edges(spark, edge):
     assert {r["lang_pred"] for r in langid.identify(edge, empty, ["doc_id"]).collect()} == {"und"}
 
 
+def test_more_languages_than_one_matrix_holds(spark, monkeypatch):
+    docs = [(f"{chr(97 + i % 26) * 3} {chr(97 + i // 26) * 2} word", f"l{i:03}") for i in range(60)] + [("aaa aa word", "l000b")]
+    df = spark.createDataFrame(docs + [("...", "none"), (None, "x")], "text string, lang string").selectExpr("monotonically_increasing_id() AS doc_id", "*")
+    whole = sorted(langid.identify(df, langid.fit(df), ["doc_id"]).collect())
+    monkeypatch.setattr(langid, "PART_LANGUAGES", 7)
+    parts = list(langid.fit_parts(df))
+    assert len(parts) > 5 and sorted(x for p in parts for x in p.languages) == sorted(x for _, x in docs)
+    dealt = sorted(langid.identify(df, iter(parts), ["doc_id"]).collect())
+    assert [r[:2] for r in dealt] == [r[:2] for r in whole] and np.allclose([r[2] for r in dealt], [r[2] for r in whole])
+    assert {r["lang_pred"] for r in whole} >= {"l000", "und"}  # l000 and l000b learned the same: a tie
+    with pytest.raises(ValueError):
+        langid.fit(df)
+
+
 def test_long_texts_score_like_short_pieces(monkeypatch):
     rng = np.random.default_rng(0)
     model = langid.LanguageModel(["a", "b"], np.hstack([rng.random((2, langid.BUCKETS)), np.zeros((2, 1))]) * 1e-3, np.zeros(2))
