@@ -28,7 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The model learns from the lang column of ``docs``. Null, empty and letterless texts go.
     """
     renamed, back = _set_aside(docs, ("lang_pred", "score"))
-    out = langid.identify(renamed, langid.fit(docs), renamed.columns)
+    out = langid.identify(renamed, langid.fit_parts(docs), renamed.columns)
     return back(out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
 
 
