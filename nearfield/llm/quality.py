@@ -21,6 +21,8 @@ from nearfield.llm._common import append_columns, held_out, read, remainder
 
 #: Labelled rows that a model is fitted on at most (those whose ids hash lowest).
 MAX_TRAIN_ROWS = 20_000
+#: Rows that the regression takes at a time.
+FIT_ROWS = 1024
 STATISTICS = [
     "log_bytes", "words", "word_bytes", "upper", "digits", "marks", "bars", "shouts", "stops", "commas", "lines", "brackets",
     "distinct", "repeats", "top_word", "distinct_lines", "other_script", "short_words",
@@ -137,22 +139,35 @@ def grow_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, ra
     return list(rules)
 
 
-def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> tuple[float, np.ndarray]:
-    """Intercept and weights of an L1-penalised logistic regression, by accelerated proximal gradient."""
-    n, m = r.shape
-    step = 4.0 / (np.linalg.norm(r, 2) ** 2 / n + 1.0)
+def lasso_logistic(member: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> tuple[float, np.ndarray]:
+    """Intercept and weights of an L1-penalised logistic regression on the standardised columns of booleans, by accelerated proximal gradient.
+
+    No column is constant. The driver holds the booleans, and has numbers of FIT_ROWS rows at a time. Weights are those of the
+    booleans themselves.
+    """
+    n, m = member.shape
+    mean = member.mean(0)
+    scale = np.sqrt(mean * (1 - mean))
+    blocks = lambda: ((slice(a, a + FIT_ROWS), member[a : a + FIT_ROWS].astype(np.float64)) for a in range(0, n, FIT_ROWS))
+    gram = (sum(r.T @ r for _, r in blocks()) / n - np.outer(mean, mean)) / np.outer(scale, scale)
+    step = 4.0 / (np.linalg.eigvalsh(gram)[-1] + 1.0)
     rate = y.mean().clip(1e-3, 1 - 1e-3)
     w, b = np.zeros(m), float(np.log(rate / (1 - rate)))
     vw, vb, t = w, b, 1.0
     for _ in range(steps):
-        e = 1 / (1 + np.exp(-(r @ vw + vb))) - y
-        w2 = vw - step * (r.T @ e) / n
+        v, slope, total = vw / scale, np.zeros(m), 0.0
+        for at, r in blocks():
+            e = 1 / (1 + np.exp(-(r @ v + (vb - mean @ v)))) - y[at]
+            slope += r.T @ e
+            total += e.sum()
+        w2 = vw - step * ((slope - mean * total) / scale) / n
         w2 = np.sign(w2) * np.maximum(0, np.abs(w2) - step * penalty)
-        b2 = vb - step * float(e.mean())
+        b2 = vb - step * float(total) / n
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vw, vb = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
-    return b, w
+    w = w / scale
+    return float(b - (w * mean).sum()), w
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = 5e-4) -> RuleModel:
@@ -167,12 +182,9 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = 5e-4) -> RuleModel:
     rules = [r for r in grow_rules(x, y) if 0 < holds(r, x).mean() < 1]
     if not rules:
         return RuleModel(float(np.log(rate / (1 - rate))))
-    member = np.stack([holds(r, x) for r in rules], 1).astype(np.float64)
-    mean, scale = member.mean(0), member.std(0)
-    b, w = lasso_logistic((member - mean) / scale, y, penalty)
-    w = w / scale
+    b, w = lasso_logistic(np.stack([holds(r, x) for r in rules], 1), y, penalty)
     keep = np.flatnonzero(np.abs(w) > 1e-6)
-    return RuleModel(float(b - (w * mean).sum()), [rules[i] for i in keep], [float(w[i]) for i in keep])
+    return RuleModel(b, [rules[i] for i in keep], [float(w[i]) for i in keep])
 
 
 def with_statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -177,6 +178,33 @@ def test_rules_as_columns_equal_rules_in_numpy(spark):
     assert shuffled.rules == model.rules and np.allclose(shuffled.weights, model.weights)
 
 
+def test_quality_fit_holds_no_matrix_of_numbers():
+    """The driver's memory: a rule's membership takes no eight bytes a row, and the weights are those of the whole matrix."""
+    rng = np.random.default_rng(6)
+    x = rng.random((6000, len(quality.STATISTICS)))
+    y = (x[:, 1] + x[:, 4] * x[:, 5] + rng.random(6000) > 1.1).astype(int)
+    rules = quality.grow_rules(x, y.astype(float))
+    tracemalloc.start()
+    model = quality.fit_rules(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rules) > 100 and peak < 6000 * len(rules) * 8
+    rules = [r for r in rules if 0 < quality.holds(r, x).mean() < 1]
+    member = np.stack([quality.holds(r, x) for r in rules], 1)
+    b, w = quality.lasso_logistic(member, y, 5e-4, steps=40)
+    r = (member - member.mean(0)) / member.std(0)
+    step, u, t = 4 / (np.linalg.norm(r, 2) ** 2 / len(y) + 1), np.zeros(len(rules) + 1), 1.0
+    u[-1] = np.log(y.mean() / (1 - y.mean()))
+    v = u
+    for _ in range(40):
+        e = 1 / (1 + np.exp(-(r @ v[:-1] + v[-1]))) - y
+        new = v - step * np.append(r.T @ e, e.sum()) / len(y)
+        new[:-1] = np.sign(new[:-1]) * np.maximum(0, np.abs(new[:-1]) - step * 5e-4)
+        t, k = (1 + np.sqrt(1 + 4 * t * t)) / 2, t - 1
+        u, v = new, new + k / t * (new - u)
+    assert np.abs(b + member @ w - (u[-1] + r @ u[:-1])).max() < 1e-8
+
+
 def test_quality_edges(spark, edge):
     labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (4, None), (5, 1), (5, 0)], "doc_id long, quality int")
     model = quality.fit(edge, labels)
