@@ -156,21 +156,27 @@ def _met(keys: DataFrame, sigs: DataFrame) -> DataFrame:
     return rows.join(sigs, "node").select("bucket", F.col("blk").alias("x"), F.col("blk").alias("y"), "blk", "nb", "node", "n", "sig")
 
 
-def _met_again(large: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """``rows``, one for each node, with the label c that ``labels`` (node, c) have for it as ``name``, or else its own number."""
+    return rows.join(labels.select("node", F.col("c").alias(name)), "node", "left").withColumn(name, F.coalesce(name, "node"))
+
+
+def _met_again(large: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
     """Members of ``large`` buckets with labels c, dealt so that all members of different labels meet.
 
     Members of the most frequent label stay in their block and the others go to every block; if the others are more than
-    BLOCK, all go to every pair of blocks instead.
+    BLOCK, all go to every pair of blocks instead. A node's label is looked up once for all of its buckets.
     """
-    rows = large.join(labels, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    own = _labelled(large.groupBy("node").agg(F.collect_list(F.struct("bucket", "blk", "nb")).alias("own")), labels, "c")
+    rows = written(own.select("node", "c", F.inline("own")))
     each = rows.groupBy("bucket", "c").agg(F.count("*").alias("k"))
     most = each.groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("most"), (F.sum("k") - F.max("k")).alias("others"))
-    rows = rows.join(most, "bucket").withColumn("by_label", F.col("others") <= BLOCK)
+    rows = rows.join(most.where("others > 0"), "bucket").join(sigs, "node").withColumn("by_label", F.col("others") <= BLOCK)
     every = F.sequence(F.lit(0), F.col("nb") - 1)
     rows = rows.withColumn("o", F.explode(F.when(F.col("by_label") & (F.col("c") == F.col("most")), F.array("blk")).otherwise(every)))
     x = F.when(F.col("by_label"), F.col("o")).otherwise(F.least("blk", "o"))
     y = F.when(F.col("by_label"), F.col("o")).otherwise(F.greatest("blk", "o"))
-    return rows.where("others > 0").select("bucket", x.alias("x"), y.alias("y"), "blk", "node", "n", "sig", "c")
+    return rows.select("bucket", x.alias("x"), y.alias("y"), "blk", "node", "n", "sig", "c")
 
 
 def _sets(size: int):
@@ -278,9 +284,9 @@ def _confirmed(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, tied: Dat
     large = rows.where("nb > 1").select("c", "node", "n")
     if large.isEmpty():
         return labels
-    of = lambda labels: large.join(labels.withColumnRenamed("c", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    told = _labelled(large, labels, "label")  # later rounds go on from the representatives, whose labels are those of all
     for turn in range(ROUNDS):
-        told = of(labels).groupBy("c", "label").agg(F.min("node").alias("node"), F.min_by("n", "node").alias("n"))
+        told = written(told.groupBy("c", "label").agg(F.min("node").alias("node"), F.min_by("n", "node").alias("n")))
         several = told.groupBy("c").agg(_blocks().alias("nb"), F.count("*").alias("k")).where("k > 1")
         told = written(told.join(several, "c").withColumn("blk", _own_block("nb", 23 + turn)))
         if not told.count():  # every cluster is one component
@@ -289,7 +295,8 @@ def _confirmed(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, tied: Dat
         if not found.count():
             break
         labels = merged(labels, found)
-    return merged(labels, _links(written(_apart(of(labels))), sets, percent))
+        told = _labelled(told.select("c", "node", "n"), labels, "label")
+    return merged(labels, _links(written(_apart(written(_labelled(large, labels, "label")))), sets, percent))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -313,7 +320,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     clusters = components(near).withColumnRenamed("component", "c")
     large = met.where("nb > 1")
     if not large.isEmpty():
-        clusters = merged(clusters, regrouped(_met_again(large, clusters)).mapInArrow(_near(percent), link))
+        clusters = merged(clusters, regrouped(_met_again(large, clusters, nodes.select("node", "n", "sig"))).mapInArrow(_near(percent), link))
     tied = full.groupBy("id").agg(F.min("fp").alias("s"), F.max("fp").alias("t")).where("s <> t").select("id")
     tied = full.select("id", "fp").join(tied, "id").join(nodes.select("fp", "node"), "fp").select(F.col("id").alias("a"), F.col("node").alias("b"))
     final = _confirmed(checkpointed(clusters), nodes, docs, tied, size, percent)

@@ -146,6 +146,45 @@ def test_a_large_cluster_costs_what_it_holds(spark, monkeypatch):
     assert sizes[800] < 5 * sizes[200] and sizes[800] < 3 * 800
 
 
+def left_outer_rows(spark, since):
+    """Rows that left outer joins have made in the executions of this session from number ``since`` on."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    total, executions = 0, store.executionsList()
+    for i in range(executions.size()):
+        k = executions.apply(i).executionId()
+        if k < since:
+            continue
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if "LeftOuter" in node.desc():
+                for m in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total, max((executions.apply(i).executionId() for i in range(executions.size())), default=-1) + 1
+
+
+def test_labels_are_looked_up_once_for_each_member(spark, monkeypatch):
+    """Near copies of one text: a member's label isn't looked up for each of its buckets and rounds."""
+    monkeypatch.setattr(minhash, "CLUSTER_BLOCK", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    made = {}
+    for n in (200, 400):
+        rows = []
+        for i in range(n):
+            w = base[:]
+            for k in rng.integers(0, 150, 3):
+                w[k] = f"x{int(rng.integers(0, 10**6))}"
+            rows.append((i, " ".join(w)))
+        since = left_outer_rows(spark, 0)[1]
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+        assert {r["component_id"] for r in got} == {0}
+        made[n] = left_outer_rows(spark, since)[0]
+    assert 0 < made[400] < 3 * made[200] and made[400] <= 8 * 400
+
+
 def test_members_apart_meet_all_others(spark, monkeypatch):
     """Every pair with a member outside the largest component shares a group."""
     monkeypatch.setattr(minhash, "CLUSTER_BLOCK", 3)
