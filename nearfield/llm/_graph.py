@@ -13,8 +13,8 @@ from nearfield.llm._common import written
 
 #: Parts that the nodes of one label are dealt to.
 SALTS = 16
-#: Links up to which one task joins them all; more take rounds over all tasks, with the same result.
-SMALL = 1 << 14
+#: Links up to which one task joins them all (4 MB of them); more take rounds over all tasks, with the same result.
+SMALL = 1 << 18
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -27,8 +27,9 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     label = np.arange(len(nodes))
     while True:
         new = label.copy()
-        np.minimum.at(new, u, label[v])
-        np.minimum.at(new, v, label[u])
+        for a, b in ((u, v), (v, u)):
+            np.minimum.at(new, a, label[b])
+            np.minimum.at(new, label[a], label[b])  # else a label only spreads from node to node along a chain
         new = new[new]
         if (new == label).all():
             break

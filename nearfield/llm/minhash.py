@@ -35,7 +35,8 @@ DISTANCE = 2 * CHUNKS - 1
 BLOCK = 256
 #: Documents of a cluster whose shingle sets one block holds, about, and bytes of these sets.
 CLUSTER_BLOCK, CLUSTER_BYTES = 256, 16 << 20
-#: Rounds in which representatives are compared at most; what they leave apart is compared in full.
+#: Rounds in which representatives are compared at most, as long as they spare more than they cost; what they leave apart is
+#: compared in full.
 ROUNDS = 6
 #: Shingles that a comparison of sets takes at a time.
 COLUMNS = 1 << 13
@@ -281,20 +282,24 @@ def _confirmed(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, tied: Dat
     sets = checkpointed(texts.mapInArrow(_sets(size), "node bigint, set binary").distinct())
     within = lambda dealt: dealt.select("c", F.col("blk").alias("x"), F.col("blk").alias("y"), "blk", "node")
     labels = components(_links(within(rows), sets, percent).unionByName(tied)).withColumnRenamed("component", "c")
-    large = rows.where("nb > 1").select("c", "node", "n")
-    if large.isEmpty():
+    most = rows.agg(F.max("nb")).first()[0] or 0
+    if most < 2:
         return labels
+    large = rows.where("nb > 1").select("c", "node", "n")
     told = _labelled(large, labels, "label")  # later rounds go on from the representatives, whose labels are those of all
     for turn in range(ROUNDS):
         told = written(told.groupBy("c", "label").agg(F.min("node").alias("node"), F.min_by("n", "node").alias("n")))
         several = told.groupBy("c").agg(_blocks().alias("nb"), F.count("*").alias("k")).where("k > 1")
         told = written(told.join(several, "c").withColumn("blk", _own_block("nb", 23 + turn)))
-        if not told.count():  # every cluster is one component
+        apart = told.count()
+        if not apart:  # every cluster is one component
             return labels
         found = written(_links(within(told), sets, percent))
-        if not found.count():
+        links = found.count()
+        if links:
+            labels = merged(labels, found)
+        if links * most < apart:  # a round compares each with one block, and spares those it joins a comparison with all
             break
-        labels = merged(labels, found)
         told = _labelled(told.select("c", "node", "n"), labels, "label")
     return merged(labels, _links(written(_apart(written(_labelled(large, labels, "label")))), sets, percent))
 

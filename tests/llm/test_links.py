@@ -5,6 +5,7 @@ from functools import partial
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -73,6 +74,17 @@ def test_components(spark, monkeypatch, small):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_many_links_are_joined_without_rounds(spark, monkeypatch):
+    """100,000 links of a shuffled chain: one table is written and one task joins them, however long the chain is."""
+    tables = []
+    monkeypatch.setattr(_graph, "written", lambda df, f=_graph.written: tables.append(df) or f(df))
+    order = np.random.default_rng(2).permutation(100_001)
+    edges = pd.DataFrame({"a": order[:-1], "b": order[1:]})
+    got = components(spark.createDataFrame(edges, "a long, b long")).toPandas()
+    assert len(tables) == 1
+    assert len(got) == 100_001 and (got["component"] == 0).all()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="aBé \t\n", max_size=12), min_size=1, max_size=6))
 def test_word_hashes_follow_the_words(texts):
@@ -185,6 +197,28 @@ def test_labels_are_looked_up_once_for_each_member(spark, monkeypatch):
     assert 0 < made[400] < 3 * made[200] and made[400] <= 8 * 400
 
 
+def test_rounds_end_when_they_join_few(spark, monkeypatch):
+    """Pages of one template, every second with a near copy: rounds end before the last, and every copy is found all the same."""
+    monkeypatch.setattr(minhash, "CLUSTER_BLOCK", 8)
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        w = base[:]
+        for k in rng.choice(119, 8, replace=False):
+            w[k] = f"x{int(rng.integers(0, 10**6))}"
+        rows.append((i, " ".join(w)))
+        if i % 2:
+            rows.append((1000 + i, " ".join([*w[:-1], "y"])))
+    met = []
+    links = minhash._links
+    monkeypatch.setattr(minhash, "_links", lambda rows, *a: met.append(rows.count()) or links(rows, *a))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
+    assert got == brute_near(rows, 2)
+    assert len({c for _, c in got.values()}) > 100 and met[1] > 100
+    assert len(met) <= 4
+
+
 def test_members_apart_meet_all_others(spark, monkeypatch):
     """Every pair with a member outside the largest component shares a group."""
     monkeypatch.setattr(minhash, "CLUSTER_BLOCK", 3)
