@@ -315,12 +315,11 @@ class VectorStore:
     def build_graphs(self, parts: int | None = None) -> None:
         """Build navigable graphs over the live vectors and keep them; they hold until the next build, compaction or refit.
 
-        ``parts`` is the number of partitions whose graphs are built side by side.
+        ``parts`` is the number of partitions whose graphs are built side by side; there are more if graphs would hold more
+        than ann.GRAPH_ROWS rows.
         """
-        rows = self.vectors()
-        rows = rows.repartition(parts) if parts else rows
         folder = f"indexes/{uuid.uuid4().hex}"
-        ann.build_graphs(rows, self.config.metric, self.config.graph).write.parquet(self.files.at(folder))
+        ann.build_graphs(self.vectors(), self.config.metric, self.config.graph, parts=parts).write.parquet(self.files.at(folder))
         layers = self.spark.read.parquet(self.files.at(folder)).agg(F.max("layers")).first()[0]
         self._keep_index({"kind": "graphs", "folder": folder, "layers": layers or 0})
 
@@ -344,22 +343,21 @@ class VectorStore:
     def approximate(self, queries: DataFrame, k: int = 10, ef_search: int | None = None, nprobe: int | None = None) -> DataFrame:
         """(qid, rank, id, distance) by the kept graphs or cells; vectors inserted since are searched exactly.
 
-        Deleted ids are left out; so many more hits are asked of the index as ids were deleted since it was built.
+        Ids that were deleted since the index was built are no candidates.
         """
         index = self.manifest.get("index")
         if not index:
             raise ValueError("no index is kept; build_graphs() or build_cells()")
         later = self.manifest["log"] or self.manifest["next_seq"] > index["seq"]
         deleted = self.rows().where(F.col("deleted") & (F.col("id") < index["next_id"])).select("id") if later else None
-        more = deleted.count() if later else 0
         rows = self.spark.read.parquet(self.files.at(index["folder"]))
         if index["kind"] == "graphs":
-            hits = ann.search_built(rows, queries, k + more, self.config.metric, self.config.graph, None if ef_search is None else ef_search + more)
+            hits = ann.search_built(rows, queries, k, self.config.metric, self.config.graph, ef_search, deleted=deleted)
         else:
             cells = ann.Cells(Metric(self.config.metric), np.asarray(index["centroids"]))
-            hits = ann.search_cells(rows, cells, queries, k + more, nprobe or max(1, len(cells.centroids) // 8))
+            live = rows if deleted is None else rows.join(deleted, "id", "left_anti")
+            hits = ann.search_cells(live, cells, queries, k, nprobe or max(1, len(cells.centroids) // 8))
         if later:
-            hits = hits.join(deleted, "id", "left_anti")
             new = exact.knn(self.vectors().where(F.col("id") >= index["next_id"]), queries, k, self.config.metric)
             hits = hits.select("qid", "id", "distance").unionByName(new.select("qid", "id", "distance"))
         return exact.top_k(hits.select("qid", "id", "distance"), k).select("qid", "rank", "id", "distance")
